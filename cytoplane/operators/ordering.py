@@ -101,10 +101,13 @@ def exact_quantiles(
     df: DataFrame, group: Sequence[str], value: str, probs: dict[str, float]
 ) -> DataFrame:
     """Interpolated quantiles per group, exact, with ties counted before the sort."""
+    if not group:
+        whole = exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs)
+        return whole.drop("__all")
     counted = df.groupBy(*group, value).agg(F.count("*").alias("__n"))
     run = with_running_sums(counted, group, [value], {"__upto": "__n"})
     sizes = counted.groupBy(*group).agg(F.sum("__n").alias("n"))
-    placed = run.join(sizes, list(group)) if group else run.crossJoin(F.broadcast(sizes))
+    placed = run.join(sizes, list(group))
     picks = []
     for name, p in probs.items():
         place = (F.col("n") - 1) * F.lit(float(p))
