@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,20 +59,29 @@ def nonzero(expr: DataFrame) -> DataFrame:
     return expr.where(F.col("value") > 0)
 
 
-def densify(expr: DataFrame, cells: DataFrame, genes: list[int], epsilon: float = EPSILON) -> DataFrame:
-    """Every gene for every cell, absent entries as zero, ``epsilon`` added.
+def densify(records: DataFrame, n_genes: int, epsilon: float = 0.0) -> DataFrame:
+    """Every gene of the vocabulary in every record: absent entries are zero.
 
-    The gene list is the caller's vocabulary; each cell row unfolds it in
-    place, so the grid is built without a shuffle before the one on cells.
+    ``epsilon`` is added to all entries; entries below zero are left out. Works
+    record by record, so the dense grid is never shuffled.
     """
-    grid = cells.select("cell_id").withColumn(
-        "gene_id", F.explode(F.sequence(F.lit(0), F.lit(len(genes) - 1)))
-    )
-    if genes != list(range(len(genes))):
-        raise ValueError("densify expects gene indexes 0..G-1")
-    filled = grid.join(expr, ["cell_id", "gene_id"], "left")
-    value = F.coalesce(F.col("value"), F.lit(0.0)) + F.lit(epsilon)
-    return filled.select("cell_id", "gene_id", value.alias("value")).where("value >= 0")
+
+    @F.pandas_udf("struct<feature:array<bigint>,value:array<double>>")
+    def spread(feature: pd.Series, value: pd.Series) -> pd.DataFrame:
+        out = {"feature": [], "value": []}
+        for at, x in zip(feature, value):
+            dense = np.zeros(n_genes)
+            dense[np.asarray(at, dtype=np.int64)] = x
+            dense += epsilon
+            keep = np.flatnonzero(dense >= 0)
+            out["feature"].append(keep)
+            out["value"].append(dense[keep])
+        return pd.DataFrame(out)
+
+    wide = records.withColumn("__d", spread("feature", "value"))
+    return wide.withColumn("feature", F.col("__d.feature")).withColumn(
+        "value", F.col("__d.value")
+    ).drop("__d")
 
 
 def build_records(expr: DataFrame, cells: DataFrame) -> DataFrame:
