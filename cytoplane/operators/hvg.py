@@ -54,7 +54,10 @@ def gene_moments(expr: DataFrame, cells: DataFrame, genes: DataFrame | None = No
 
 def normalized_dispersion(moments: DataFrame) -> DataFrame:
     """Adds ``log_mean, bin, dispersion, score`` to the moments."""
-    by = ["batch"] if "batch" in moments.columns else []
+    if "batch" not in moments.columns:
+        whole = normalized_dispersion(moments.withColumn("batch", F.lit(0)))
+        return whole.drop("batch")
+    by = ["batch"]
     mean = F.when(F.col("mean") == 0, F.lit(MEAN_FLOOR)).otherwise(F.col("mean"))
     spread = moments.withColumn("log_mean", F.log1p(mean)).withColumn(
         "dispersion", F.when(F.col("variance") > 0, F.log(F.col("variance") / mean))
@@ -62,8 +65,7 @@ def normalized_dispersion(moments: DataFrame) -> DataFrame:
     edges = spread.groupBy(*by).agg(
         F.min("log_mean").alias("lo"), F.max("log_mean").alias("hi")
     )
-    # One row per batch; without batches a single row.
-    ranged = spread.join(edges, by) if by else spread.join(F.broadcast(edges))
+    ranged = spread.join(edges, by)
     share = (F.col("log_mean") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
     place = F.greatest(F.lit(1), F.ceil(F.lit(BINS) * F.coalesce(share, F.lit(0.0))))
     binned = ranged.withColumn("bin", place.cast("int")).drop("lo", "hi")
