@@ -142,7 +142,7 @@ def signature_score(expr: DataFrame, cells: DataFrame, markers: DataFrame, n_gen
     """Per cell and set: mean of the set's values minus the mean over all genes.
 
     Absent rows count as zero, so the sums are divided by the set's size and
-    by ``n_genes``. Only (cell, set) pairs with at least one marker row appear.
+    by ``n_genes``; every cell is scored for every set.
     """
     sizes = markers.groupBy("set_name").agg(F.countDistinct("gene_id").alias("set_size"))
     whole = expr.groupBy("cell_id").agg(F.sum("value").alias("all_sum"))
@@ -151,15 +151,16 @@ def signature_score(expr: DataFrame, cells: DataFrame, markers: DataFrame, n_gen
         .groupBy("cell_id", "set_name")
         .agg(F.sum("value").alias("set_sum"))
     )
+    names = F.array(*[F.lit(x) for x in categories(markers, "set_name")])
+    zero = F.lit(0.0)
+    score = F.coalesce("set_sum", zero) / F.col("set_size") - F.coalesce("all_sum", zero) / F.lit(n_genes)
     return (
-        inside.join(cells.select("cell_id"), "cell_id")
+        cells.select("cell_id")
+        .join(whole, "cell_id", "left")
+        .withColumn("set_name", F.explode(names))
+        .join(inside, ["cell_id", "set_name"], "left")
         .join(sizes, "set_name")
-        .join(whole, "cell_id")
-        .select(
-            "cell_id",
-            "set_name",
-            (F.col("set_sum") / F.col("set_size") - F.col("all_sum") / F.lit(n_genes)).alias("score"),
-        )
+        .select("cell_id", "set_name", score.alias("score"))
     )
 
 
