@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cytoplane.functions.vectors import two_sided_normal_p
 from cytoplane.operators.ordering import exact_quantiles, with_running_sums
@@ -40,7 +41,7 @@ def categories(rows: DataFrame, column: str) -> list:
 def composition(rows: DataFrame, cluster: str, sample: str) -> DataFrame:
     """Share of each cluster within each sample, zeros kept: the wide table, unpivoted."""
     names = [c for c in categories(rows, cluster) if c is not None]
-    wide = rows.groupBy(sample).pivot(cluster, names).agg(F.count("*")).na.fill(0)
+    wide = rows.groupBy(sample).pivot(cluster, names).agg(F.count(F.lit(1))).na.fill(0)
     total = sum((F.col(f"`{n}`") for n in names), F.lit(0))
     shares = wide.select(sample, *[(F.col(f"`{n}`") / total).alias(str(n)) for n in names])
     return shares.unpivot([sample], None, cluster, "share")
@@ -176,7 +177,7 @@ def ranks_with_ties(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame
     return run.select(*by, value, "n", rank.alias("rank"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _normal_p(z: pd.Series) -> pd.Series:
     return z.map(two_sided_normal_p, na_action="ignore")
 

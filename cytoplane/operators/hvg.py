@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cytoplane.session import cut
+
 # Fixed values.
 MEAN_FLOOR = 1e-12
 BINS = 20
@@ -58,6 +60,9 @@ def normalized_dispersion(moments: DataFrame) -> DataFrame:
         whole = normalized_dispersion(moments.withColumn("batch", F.lit(0)))
         return whole.drop("batch")
     by = ["batch"]
+    # One row per gene and batch: written once, so that the steps below do not
+    # each go back to the expression table.
+    moments = cut(moments)
     mean = F.when(F.col("mean") == 0, F.lit(MEAN_FLOOR)).otherwise(F.col("mean"))
     spread = moments.withColumn("log_mean", F.log1p(mean)).withColumn(
         "dispersion", F.when(F.col("variance") > 0, F.log(F.col("variance") / mean))
@@ -102,7 +107,7 @@ def select_hvg(
     min_score: float = MIN_DISPERSION,
 ) -> DataFrame:
     """Selected genes (per batch if there are batches) with mean and score."""
-    scored = normalized_dispersion(moments)
+    scored = cut(normalized_dispersion(moments))
     if n_top is not None:
         return _at_least_nth(scored, n_top)
     return scored.where(
@@ -112,7 +117,7 @@ def select_hvg(
 
 def select_hvg_batched(moments: DataFrame, n_top: int) -> DataFrame:
     """Exactly ``n_top`` genes over all batches: ``gene_id, n_batches, score``."""
-    scored = normalized_dispersion(moments)
+    scored = cut(normalized_dispersion(moments))
     kept = _at_least_nth(scored, n_top).select("batch", "gene_id", F.lit(1).alias("hit"))
     merged = scored.join(kept, ["batch", "gene_id"], "left")
     genes = merged.groupBy("gene_id").agg(

@@ -64,11 +64,25 @@ def preprocess(
     target: float = TARGET_SUM,
     min_cells: int | None = None,
 ) -> DataFrame:
-    """Cell filter, optional gene filter, normalisation and log, in that order."""
-    kept = filter_cells(expr, min_genes)
+    """Cell filter, optional gene filter, normalisation and log, in that order.
+
+    Without the gene filter the gene count and the total of a cell come from
+    one aggregation and are joined back once.
+    """
     if min_cells is not None:
-        kept = filter_genes(kept, min_cells)
-    return log1p(normalize_total(kept, target))
+        kept = filter_genes(filter_cells(expr, min_genes), min_cells)
+        return log1p(normalize_total(kept, target))
+    least = MIN_GENES if min_genes is None else min_genes
+    cells = (
+        expr.groupBy("cell_id")
+        .agg(F.count_if(F.col("value") > 0).alias("__n"), F.sum("value").alias("__total"))
+        .where(F.col("__n") >= least)
+    )
+    share = F.col("value") * F.lit(float(target)) / F.col("__total")
+    scaled = F.when(F.col("__total") == 0, F.col("value")).otherwise(share)
+    return expr.join(cells, "cell_id").select(
+        "cell_id", "gene_id", F.log1p(scaled).alias("value")
+    )
 
 
 def default_batch(obs: DataFrame, batch: str | None = None) -> DataFrame:

@@ -18,6 +18,7 @@ def get_spark(app: str = "cytoplane", master: str | None = None) -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
         cores = os.environ.get("BENCH_CPUS", "8")
