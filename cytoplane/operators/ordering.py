@@ -20,11 +20,17 @@ _PLACE_BITS = (1 << 33) - 1
 
 
 def _sorted_slices(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
-    """Sort, fix the layout by a checkpoint, and tag slice number and place in it."""
-    fixed = cut(df.orderBy(*order))
-    return fixed.withColumn(_PART, F.spark_partition_id()).withColumn(
-        _PLACE, F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE_BITS))
+    """Sort, tag slice number and place in it, and write the rows with their tags.
+
+    The tags are stored with the rows, so they stay what they are however
+    often, and in whatever splits, the table is read.
+    """
+    tagged = (
+        df.orderBy(*order)
+        .withColumn(_PART, F.spark_partition_id())
+        .withColumn(_PLACE, F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE_BITS)))
     )
+    return cut(tagged)
 
 
 def with_position(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
