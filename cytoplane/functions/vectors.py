@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,19 +18,41 @@ def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``.
+
+    Expressions named inside a lambda are evaluated anew for every element;
+    a bound variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def inner_product(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x * y))
 
 
 def l2_normalize(v: Column) -> Column:
-    norm = F.sqrt(F.greatest(inner_product(v, v), F.lit(NORM_FLOOR)))
-    return F.transform(v, lambda x: x / norm)
+    def scale(w: Column) -> Column:
+        norm = F.sqrt(F.greatest(inner_product(w, w), F.lit(NORM_FLOOR)))
+        return let(norm, lambda n: F.transform(w, lambda x: x / n))
+
+    return let(v, scale)
+
+
+def scale_to_one(v: Column) -> Column:
+    """Divide by the sum of the elements."""
+    return let(v, lambda w: let(total(w), lambda t: F.transform(w, lambda x: x / t)))
 
 
 def softmax(v: Column, temperature: float = 1.0) -> Column:
     """Exponentials of ``v / temperature`` relative to the largest, summing to 1."""
-    shifted = F.transform(v, lambda x: F.exp((x - F.array_max(v)) / F.lit(temperature)))
-    return F.transform(shifted, lambda e: e / total(shifted))
+
+    def exponentials(w: Column) -> Column:
+        return let(
+            F.array_max(w), lambda top: F.transform(w, lambda x: F.exp((x - top) / F.lit(temperature)))
+        )
+
+    return scale_to_one(let(v, exponentials))
 
 
 def sharpen(v: Column, temperature: float = SHARPEN_TEMPERATURE) -> Column:
@@ -37,9 +60,14 @@ def sharpen(v: Column, temperature: float = SHARPEN_TEMPERATURE) -> Column:
 
 
 def log_softmax(v: Column) -> Column:
-    top = F.array_max(v)
-    log_sum = F.log(total(F.transform(v, lambda x: F.exp(x - top))))
-    return F.transform(v, lambda x: x - top - log_sum)
+    def run(w: Column) -> Column:
+        def shift(top: Column) -> Column:
+            log_sum = F.log(total(F.transform(w, lambda x: F.exp(x - top))))
+            return let(top + log_sum, lambda base: F.transform(w, lambda x: x - base))
+
+        return let(F.array_max(w), shift)
+
+    return let(v, run)
 
 
 def entropy(p: Column) -> Column:
@@ -50,7 +78,7 @@ def entropy(p: Column) -> Column:
 
 def argmax(v: Column) -> Column:
     """Zero-based place of the largest element; the first one on ties."""
-    return (F.array_position(v, F.array_max(v)) - 1).cast("int")
+    return let(v, lambda w: (F.array_position(w, F.array_max(w)) - 1).cast("int"))
 
 
 def one_hot(code: Column, size: int) -> Column:

@@ -28,6 +28,9 @@ SAME_TYPE = {
 }
 
 
+TIMES: dict[str, float] = {}
+
+
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
@@ -50,6 +53,7 @@ def compare(spark, con, func, sql: str, folder: str) -> str | None:
     """None if equal, else what differs."""
     df = func(spark, folder)
     got_types = dict(df.dtypes)
+    start = time.time()
     cur = con.execute(sql)
     names = [x[0] for x in cur.description]
     want_types = dict(zip(names, [str(x[1]) for x in cur.description]))
@@ -61,6 +65,7 @@ def compare(spark, con, func, sql: str, folder: str) -> str | None:
     order = sorted(names)
     place = [names.index(c) for c in order]
     want = sorted(tuple(_key(r[i]) for i in place) for r in cur.fetchall())
+    TIMES["sql"] = time.time() - start
     got = sorted(tuple(_key(v) for v in r) for r in df.select(*[f"`{c}`" for c in order]).collect())
     if len(got) != len(want):
         return f"rows {len(got)} vs {len(want)}; only spark {[x for x in got if x not in set(want)][:2]}"
@@ -85,6 +90,7 @@ def main() -> int:
     failed = 0
     for name in names or list(funcs):
         start = time.time()
+        TIMES.clear()
         try:
             if name in sqls:
                 problem = compare(spark, con, funcs[name], sqls[name], folder)
@@ -98,7 +104,7 @@ def main() -> int:
                 traceback.print_exc()
             kind = "error"
         failed += problem is not None
-        print(f"{'ok  ' if problem is None else 'FAIL'} {name} [{kind}] {time.time() - start:.1f}s {problem or ''}", flush=True)
+        print(f"{'ok  ' if problem is None else 'FAIL'} {name} [{kind}] {time.time() - start:.1f}s (sql {TIMES.get('sql', 0):.1f}s) {problem or ''}", flush=True)
     print(f"{failed} failed")
     return 1 if failed else 0
 
