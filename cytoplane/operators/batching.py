@@ -37,12 +37,7 @@ def assign_minibatches(
     """
     by = list(by)
     keys = list(order) if seed is None else [seeded_key(seed, *order), *order]
-    placed = with_position_in_group(rows, by, keys, "__at")
-    counts = placed.groupBy(*by).agg(F.count("*").alias("__n")) if by else None
-    if counts is None:
-        counted = placed.withColumn("__n", F.lit(rows.count()))
-    else:
-        counted = placed.join(counts, by)
+    counted = with_position_in_group(rows, by, keys, "__at", size="__n")
     full = F.floor(F.col("__n") / F.lit(size)) * F.lit(size)
     return (
         counted.where(F.col("__at") < full)

@@ -48,7 +48,7 @@ def gene_moments(expr: DataFrame, cells: DataFrame, genes: DataFrame | None = No
     else:
         if genes is not None:
             sums = genes.select("gene_id").join(sums, "gene_id", "left").na.fill(0.0, ["s", "q"])
-        joined = sums.withColumn("n", F.lit(size.first()["n"]))
+        joined = sums.withColumn("n", size.scalar())
     mean = F.col("s") / F.col("n")
     variance = (F.col("q") - F.col("n") * mean * mean) / (F.col("n") - 1)
     return joined.select(*by, "gene_id", mean.alias("mean"), variance.alias("variance"))

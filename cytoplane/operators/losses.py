@@ -105,11 +105,11 @@ def neighbour_consistency(pairs: DataFrame, entropy_weight: float = 1.0) -> Data
     )
     floored = F.greatest(F.col("mean"), F.lit(V.ENTROPY_FLOOR))
     spread = mean_vector(probs, F.col("p")).agg(F.sum(-floored * F.log(floored)).alias("entropy"))
-    return consistency.withColumn("k", F.lit(0)).join(spread.withColumn("k", F.lit(0)), "k").select(
-        "consistency",
-        "entropy",
-        (F.col("consistency") - F.lit(entropy_weight) * F.col("entropy")).alias("total"),
+    both = consistency.unionByName(spread, allowMissingColumns=True).agg(
+        F.max("consistency").alias("consistency"), F.max("entropy").alias("entropy")
     )
+    total = F.col("consistency") - F.lit(entropy_weight) * F.col("entropy")
+    return both.withColumn("total", total)
 
 
 def mutual_information_loss(pairs: DataFrame) -> DataFrame:

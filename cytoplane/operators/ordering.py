@@ -48,18 +48,31 @@ def with_position(df: DataFrame, order: Sequence[Column | str], name: str) -> Da
 
 
 def with_position_in_group(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column | str], name: str
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[Column | str],
+    name: str,
+    size: str | None = None,
 ) -> DataFrame:
-    """Zero-based position inside each group, without one task per group."""
+    """Zero-based position inside each group, without one task per group.
+
+    ``size`` names a second column with the number of rows of the group.
+    """
     if not group:
-        return with_position(df, order, name)
+        placed = with_position(df, order, name)
+        return placed if size is None else placed.withColumn(size, F.lit(placed.count()))
     placed = with_position(df, [*group, *order], "__pos")
-    starts = placed.groupBy(*group).agg(F.min("__pos").alias("__start"))
+    starts = placed.groupBy(*group).agg(
+        F.min("__pos").alias("__start"), F.count("*").alias(size or "__size")
+    )
+    if size is None:
+        starts = starts.drop("__size")
     keys = [F.col(f"p.{g}").eqNullSafe(F.col(f"s.{g}")) for g in group]
+    extra = [] if size is None else [F.col(size)]
     return (
         placed.alias("p")
         .join(starts.alias("s"), keys)
-        .select("p.*", (F.col("__pos") - F.col("__start")).alias(name))
+        .select("p.*", (F.col("__pos") - F.col("__start")).alias(name), *extra)
         .drop("__pos")
     )
 

@@ -22,11 +22,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RESIDENT_BYTES = 64 << 20
-BLOCK_ROWS = 8192
+BLOCK_BYTES = 32 << 20
 TILE_CELLS = 4_000_000
 DIGITS = 10
 
@@ -177,26 +177,35 @@ def _resident(queries: DataFrame, refs: DataFrame, kernel: Kernel, schema: str)
 
 
 def _blocked(
-    queries: DataFrame, refs: DataFrame, kernel: Kernel, schema: str, block_rows: int
+    queries: DataFrame,
+    refs: DataFrame,
+    grouped: bool,
+    kernel: Kernel,
+    schema: str,
+    block_rows: int,
 ) -> DataFrame:
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("grp").agg(
-            F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias(name)
-        )
-
-    layout = blocks(queries, "q_blocks").join(blocks(refs, "r_blocks"), "grp")
-    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = (
-        queries.join(layout, "grp")
-        .withColumn("qb", own("q_blocks"))
-        .withColumn("rb", every("r_blocks"))
-    )
-    right = (
-        refs.join(layout, "grp")
-        .withColumn("rb", own("r_blocks"))
-        .withColumn("qb", every("q_blocks"))
-    )
+    if grouped:
+
+        def blocks(df: DataFrame, name: str) -> DataFrame:
+            return df.groupBy("grp").agg(
+                F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias(name)
+            )
+
+        layout = blocks(queries, "q_blocks").join(blocks(refs, "r_blocks"), "grp")
+        queries, refs = queries.join(layout, "grp"), refs.join(layout, "grp")
+    else:
+        for name, df in (("q_blocks", queries), ("r_blocks", refs)):
+            size = F.lit(-(-df.count() // block_rows))
+            queries, refs = queries.withColumn(name, size), refs.withColumn(name, size)
+
+    def own(n: str) -> Column:
+        return F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+
+    left = queries.withColumn("qb", own("q_blocks")).withColumn("rb", every("r_blocks"))
+    right = refs.withColumn("rb", own("r_blocks")).withColumn("qb", every("q_blocks"))
     empty = [f.strip().split(" ")[0] for f in schema.split(",")]
 
     def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
@@ -220,16 +229,24 @@ def compare(
     kernel: Kernel,
     schema: str,
     resident_bytes: int = RESIDENT_BYTES,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> tuple[DataFrame, bool]:
-    """Run a kernel over all query/reference pairs; True if each query met one side only."""
+    """Run a kernel over all query/reference pairs; True if each query met one side only.
+
+    Blocks hold ``BLOCK_BYTES`` of vectors unless ``block_rows`` is given. A
+    row is copied once per block of the other side, so larger blocks mean less
+    to shuffle and more memory per task.
+    """
+    grouped = "grp" in refs.columns
     queries, refs = _standard(queries), _standard(refs)
     size = refs.agg(
         F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")
     ).first()
-    if (size["n"] or 0) * ((size["dim"] or 0) + 4) * 8 <= resident_bytes:
+    dim = size["dim"] or 1
+    if (size["n"] or 0) * (dim + 4) * 8 <= resident_bytes:
         return _resident(queries, refs, kernel, schema), True
-    return _blocked(queries, refs, kernel, schema, block_rows), False
+    rows = block_rows or max(1, BLOCK_BYTES // (dim * 8))
+    return _blocked(queries, refs, grouped, kernel, schema, rows), False
 
 
 def knn(

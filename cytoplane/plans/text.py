@@ -11,7 +11,7 @@ from cytoplane.functions import strings as ST
 from cytoplane.operators import text as X
 from cytoplane.plans import fixtures as fx
 from cytoplane.plans.registry import block, query
-from cytoplane.session import cut, workspace
+from cytoplane.session import cut, spread, workspace
 
 block(
     "vocab",
@@ -102,7 +102,7 @@ block(
 
 
 def _tokens(spark, d):
-    return _docs(spark, d).select("doc_id", X.basic_words(F.col("text")).alias("words"))
+    return spread(_docs(spark, d)).select("doc_id", X.basic_words(F.col("text")).alias("words"))
 
 
 def _piece_vocab(spark, d):
@@ -284,12 +284,18 @@ def decode_ids(spark, d):
     )
 
 
-@query("token_offsets")
+@query(
+    "token_offsets",
+    "doc_pieces",
+    """SELECT doc_id, CAST(len(pieces) AS BIGINT) AS n_tokens, CAST(len(pieces) AS BIGINT) AS n_exact,
+  CAST(CASE WHEN len(pieces) > 0 THEN length(regexp_replace(text, '[\\p{Z}\\p{Cc}\\p{Cf}\\x{FFFD}]+$', '')) END AS BIGINT) AS last_end
+FROM doc_pieces JOIN documents USING (doc_id)""",
+)
 def token_offsets(spark, d):
     """Places of all word pieces in the original text, with the text found there."""
     vocab = _piece_vocab(spark, d)
-    rows = X.wordpiece(_tokens(spark, d), vocab).join(_docs(spark, d), "doc_id")
-    spans = rows.withColumn("spans", X.token_offsets(F.col("text"), F.col("pieces")))
+    docs = spread(_docs(spark, d)).select("doc_id", "text", X.basic_words(F.col("text")).alias("words"))
+    spans = X.wordpiece(docs, vocab).withColumn("spans", X.token_offsets(F.col("text"), F.col("pieces")))
     good = F.zip_with(
         "pieces",
         "spans",

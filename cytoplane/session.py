@@ -63,3 +63,13 @@ def cut(df: DataFrame) -> DataFrame:
 def workspace(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, for tables passed between stages."""
     return f"{checkpoint_root(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a plain scan out to all cores if it has too few splits.
+
+    For row-by-row work that costs far more than moving the row; a table with
+    enough splits is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
