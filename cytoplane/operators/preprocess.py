@@ -22,13 +22,15 @@ def filter_cells(expr: DataFrame, min_genes: int | None = MIN_GENES) -> DataFram
     """Keep cells with at least ``min_genes`` genes above zero."""
     least = MIN_GENES if min_genes is None else min_genes
     kept = expr.groupBy("cell_id").agg(F.count_if(F.col("value") > 0).alias("n"))
-    return expr.join(kept.where(F.col("n") >= least).select("cell_id"), "cell_id", "left_semi")
+    kept = kept.where(F.col("n") >= least).select("cell_id")
+    return expr.join(kept, "cell_id", "left_semi").select(expr.columns)
 
 
 def filter_genes(expr: DataFrame, min_cells: int = 3) -> DataFrame:
     """Keep genes seen in at least ``min_cells`` cells."""
     kept = expr.groupBy("gene_id").agg(F.count_if(F.col("value") > 0).alias("n"))
-    return expr.join(kept.where(F.col("n") >= min_cells).select("gene_id"), "gene_id", "left_semi")
+    kept = kept.where(F.col("n") >= min_cells).select("gene_id")
+    return expr.join(kept, "gene_id", "left_semi").select(expr.columns)
 
 
 def drop_gene_prefixes(
@@ -139,7 +141,7 @@ def concat_cells(left: DataFrame, right: DataFrame, tags: tuple[str, str]) -> Da
     stacked = left.withColumn("source", F.lit(tags[0])).unionByName(
         right.withColumn("source", F.lit(tags[1])), allowMissingColumns=True
     )
-    return stacked.join(shared, "gene_id", "left_semi")
+    return stacked.join(shared, "gene_id", "left_semi").select(stacked.columns)
 
 
 def align_to_vocabulary(expr: DataFrame, vocabulary: DataFrame, declared: int | None = None) -> DataFrame:
