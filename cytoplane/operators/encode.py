@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -63,24 +64,39 @@ def _resident_genes(genes: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarra
     return rows["gene_ix"].to_numpy(), np.stack(rows["vec"]).astype(float)
 
 
-def _lookup(shared, feature: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, ...]:
+@dataclass(frozen=True)
+class _Entries:
+    """All entries of a batch of records that have a gene vector, in record order."""
+
+    cells: pa.Array
+    row: np.ndarray
+    gene: np.ndarray
+    vecs: np.ndarray
+    value: np.ndarray
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """Sum ``x`` over the entries of each record; records without any give zero."""
+        out = np.zeros((len(self.cells), *x.shape[1:]))
+        if len(x):
+            starts = np.flatnonzero(np.r_[True, np.diff(self.row) > 0])
+            out[self.row[starts]] = np.add.reduceat(x, starts)
+        return out
+
+
+def _entries(batch: pa.RecordBatch, shared: tuple[np.ndarray, np.ndarray]) -> _Entries:
     index, vecs = shared
-    at = np.searchsorted(index, feature)
-    at[at == len(index)] = 0
-    known = index[at] == feature if len(index) else np.zeros(len(feature), dtype=bool)
-    return feature[known], vecs[at[known]], value[known]
+    feature, value = batch.column("feature"), batch.column("value")
+    row = np.repeat(np.arange(batch.num_rows), feature.value_lengths().to_numpy(zero_copy_only=False))
+    gene = feature.flatten().to_numpy(zero_copy_only=False)
+    x = value.flatten().to_numpy(zero_copy_only=False)
+    at = np.minimum(np.searchsorted(index, gene), len(index) - 1)
+    known = index[at] == gene
+    return _Entries(batch.column("cell_id"), row[known], gene[known], vecs[at[known]], x[known])
 
 
-def _flat(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row number, gene index and value of all entries of a batch of records."""
-    sizes = batch["feature"].map(len).to_numpy()
-    if sizes.sum() == 0:
-        return np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0)
-    return (
-        np.repeat(np.arange(len(batch)), sizes),
-        np.concatenate(batch["feature"].to_numpy()).astype(np.int64),
-        np.concatenate(batch["value"].to_numpy()).astype(float),
-    )
+def _lists(m: np.ndarray) -> pa.Array:
+    offsets = np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(m).ravel()))
 
 
 def pool_cells(
@@ -97,25 +113,16 @@ def pool_cells(
         return _pool_by_join(records, genes, weights)
     shared = records.sparkSession.sparkContext.broadcast(resident)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        width = len(weights.u)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, feature, value = _flat(batch)
-            index, vecs = shared.value
-            at = np.minimum(np.searchsorted(index, feature), len(index) - 1)
-            known = index[at] == feature
-            row, at, value = row[known], at[known], value[known]
-            top, norm = np.zeros((len(batch), width)), np.zeros(len(batch))
-            for part in range(0, len(row), 1 << 18):
-                s = slice(part, part + (1 << 18))
-                h = weights.hidden(vecs[at[s]], value[s])
-                a = weights.attention(h)
-                np.add.at(top, row[s], h * a[:, None])
-                np.add.at(norm, row[s], a)
-            z = weights.finish(top / (norm + ATTENTION_EPSILON)[:, None])
-            yield pd.DataFrame({"cell_id": batch["cell_id"], "z": list(z)})
-
-    return records.select("cell_id", "feature", "value").mapInPandas(
+            e = _entries(batch, shared.value)
+            h = weights.hidden(e.vecs, e.value)
+            a = weights.attention(h)
+            norm = e.sums(a) + ATTENTION_EPSILON
+            z = weights.finish(e.sums(h * a[:, None]) / norm[:, None])
+            yield pa.RecordBatch.from_arrays([e.cells, _lists(z)], ["cell_id", "z"])
+
+    return records.select("cell_id", "feature", "value").mapInArrow(
         run, "cell_id bigint, z array<double>"
     )
 
@@ -213,16 +220,17 @@ def export_attention(
     if resident is not None:
         shared = records.sparkSession.sparkContext.broadcast(resident)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for cell, feature, value in zip(batch["cell_id"], batch["feature"], batch["value"]):
-                    ix, vecs, x = _lookup(shared.value, np.asarray(feature, np.int64), np.asarray(value))
-                    if len(ix):
-                        a = weights.attention(weights.hidden(vecs, x))
-                        share = a / (a.sum() + ATTENTION_EPSILON)
-                        yield pd.DataFrame({"cell_id": cell, "gene_ix": ix, "weight": share})
-
-        out = records.select("cell_id", "feature", "value").mapInPandas(run, schema)
+                e = _entries(batch, shared.value)
+                a = weights.attention(weights.hidden(e.vecs, e.value))
+                share = a / (e.sums(a) + ATTENTION_EPSILON)[e.row]
+                yield pa.RecordBatch.from_arrays(
+                    [e.cells.take(pa.array(e.row)), pa.array(e.gene), pa.array(share)],
+                    ["cell_id", "gene_ix", "weight"],
+                )
+
+        out = records.select("cell_id", "feature", "value").mapInArrow(run, schema)
     else:
         entries = records.select(
             "cell_id", F.explode(F.arrays_zip("feature", "value")).alias("e")

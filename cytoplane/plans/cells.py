@@ -13,6 +13,7 @@ from cytoplane.operators import preprocess as P
 from cytoplane.plans import fixtures as fx
 from cytoplane.plans.fixtures import r6
 from cytoplane.plans.registry import block, query
+from cytoplane.session import cut
 
 # ------------------------------------------------------------------- filters
 
@@ -134,12 +135,12 @@ block("batch_scored", "batch_moments", _scored_sql("batch_moments", "batch"))
 
 
 def _moments(spark, d):
-    rows = fx.norm(spark, d)
+    rows = cut(fx.norm(spark, d))  # preprocessed tables are stored between stages
     return H.gene_moments(rows, rows.select("cell_id").distinct(), fx.var_genes(spark, d))
 
 
 def _batch_moments(spark, d):
-    rows = fx.norm(spark, d)
+    rows = cut(fx.norm(spark, d))
     cells = rows.select("cell_id").distinct().join(fx.obs(spark, d).select("cell_id", "batch"), "cell_id")
     return H.gene_moments(rows, cells)
 
@@ -209,7 +210,7 @@ def hvg_intersect(spark, d):
     """Cut-off selection on reference cells and on query cells, kept where both agree."""
     rows, genes = fx.norm(spark, d), fx.var_genes(spark, d)
     held = fx.obs(spark, d).select("cell_id", (F.col("batch") == fx.HELD_OUT).alias("held"))
-    tagged = rows.join(held, "cell_id")
+    tagged = cut(rows.join(held, "cell_id"))
 
     def side(part):
         mine = part.drop("held")

@@ -23,7 +23,7 @@ from cytoplane.sources import records as R
 
 
 def _long(df, key, vec, value="value"):
-    return df.select(key, F.posexplode(vec).alias("pos", value)).select(
+    return df.select(key, F.posexplode_outer(vec).alias("pos", value)).select(
         key, F.col("pos").cast("bigint").alias("pos"), r6(value).alias(value)
     )
 

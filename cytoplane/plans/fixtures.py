@@ -16,6 +16,7 @@ from cytoplane.operators import preprocess as P
 from cytoplane.operators.encode import AttentionWeights, HeadWeights
 from cytoplane.operators.ordering import with_position
 from cytoplane.plans.registry import block
+from cytoplane.session import ship
 
 MIN_GENES = 30
 N_TOP = 500
@@ -25,6 +26,7 @@ WIDTH = 8
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 

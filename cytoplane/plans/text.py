@@ -29,7 +29,7 @@ FORCED = [X.PAD, X.UNK, X.CLS, X.SEP]
 
 
 def _docs(spark, d):
-    return fx.table(spark, d, "documents").select("doc_id", "text")
+    return spread(fx.table(spark, d, "documents").select("doc_id", "text"))
 
 
 @query("build_vocab", "vocab", "SELECT token, id, n FROM vocab")
@@ -102,14 +102,14 @@ block(
 
 
 def _tokens(spark, d):
-    return spread(_docs(spark, d)).select("doc_id", X.basic_words(F.col("text")).alias("words"))
+    return _docs(spark, d).select("doc_id", X.basic_words(F.col("text")).alias("words"))
 
 
 def _piece_vocab(spark, d):
     from cytoplane.operators.ordering import with_position
 
-    counts = _tokens(spark, d).select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    counts = cut(counts)
+    words = _tokens(spark, d).select(F.explode_outer("words").alias("word")).where("word IS NOT NULL")
+    counts = cut(words.groupBy("word").agg(F.count("*").alias("n")))
     frequent = counts.where("n >= 20").select(F.col("word").alias("token"), "n")
     starts = F.explode(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(12))))
     cuts = (
@@ -294,7 +294,7 @@ FROM doc_pieces JOIN documents USING (doc_id)""",
 def token_offsets(spark, d):
     """Places of all word pieces in the original text, with the text found there."""
     vocab = _piece_vocab(spark, d)
-    docs = spread(_docs(spark, d)).select("doc_id", "text", X.basic_words(F.col("text")).alias("words"))
+    docs = _docs(spark, d).select("doc_id", "text", X.basic_words(F.col("text")).alias("words"))
     spans = X.wordpiece(docs, vocab).withColumn("spans", X.token_offsets(F.col("text"), F.col("pieces")))
     good = F.zip_with(
         "pieces",
@@ -314,7 +314,7 @@ def token_offsets(spark, d):
 def segment_text(spark, d):
     """All documents cut at line ends, then full stops, then blanks, below 200 characters."""
     parts = X.segment_text(F.col("text"), 200, "\n. ")
-    rows = _docs(spark, d).select("doc_id", F.posexplode(parts).alias("pos", "piece"))
+    rows = _docs(spark, d).select("doc_id", F.posexplode_outer(parts).alias("pos", "piece"))
     return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "piece")
 
 

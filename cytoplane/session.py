@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def get_spark(app: str = "cytoplane", master: str | None = None) -> SparkSession:
     """Session with the settings the operators expect; ``master`` only for tests."""
@@ -27,7 +31,23 @@ def get_spark(app: str = "cytoplane", master: str | None = None) -> SparkSession
             .config("spark.driver.memory", "16g")
             .config("spark.sql.shuffle.partitions", cores)
         )
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, for code in tasks."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="cytoplane-")) / "cytoplane_src.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
