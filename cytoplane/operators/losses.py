@@ -20,11 +20,20 @@ CONFIDENCE = 0.9
 UDA_THRESHOLD = 0.6
 JOINT_FLOOR = 1e-9
 
+MAX_MINIBATCH = 8192
+
 
 def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt(np.maximum((m * m).sum(axis=1, keepdims=True), V.NORM_FLOOR))
 
 
+def _bounded(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A mini-batch is small by construction; refuse a group that is not."""
+    if len(pdf) > MAX_MINIBATCH:
+        raise ValueError(f"mini-batch of {len(pdf)} rows; assign mini-batches first")
+    return pdf
+
+
 def _log_sum(scores: np.ndarray) -> np.ndarray:
     top = scores.max(axis=1)
     return top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
@@ -40,6 +49,7 @@ def contrastive_loss(
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = _bounded(pdf)
         a, b = _unit(np.stack(pdf["a"])), _unit(np.stack(pdf["b"]))
         rows = 0.0
         for one, two in ((a, b), (b, a)):
@@ -62,6 +72,7 @@ def supervised_contrastive(
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = _bounded(pdf)
         v, label = np.stack(pdf["vec"]), pdf["label"].to_numpy()
         scores = v @ v.T / temperature
         np.fill_diagonal(scores, -np.inf)

@@ -546,3 +546,44 @@ def predict_labels(spark, d):
     model, rows = _classified(spark, d)
     out = CL.predict(model, rows.where("batch = 1"))
     return out.select("id", F.col("code").alias("truth"), F.col("pred_code").alias("pred"), r6(F.array_max("probability")).alias("confidence"))
+
+
+# ------------------------------------------------- query-to-reference mapping
+
+block(
+    "cell_labels",
+    "",
+    """SELECT c_custkey AS cell_id, c_mktsegment AS batch, n_regionkey AS truth FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+)
+block(
+    "cell_sims",
+    "encoded cell_labels",
+    f"""SELECT q.cell_id AS query_id, r.cell_id AS ref_id, lr.truth AS label, round(list_dot_product(q.vec, r.vec), 10) AS sim
+  FROM encoded q JOIN cell_labels lq ON lq.cell_id = q.cell_id AND lq.batch = '{fx.HELD_OUT}',
+    encoded r JOIN cell_labels lr ON lr.cell_id = r.cell_id AND lr.batch <> '{fx.HELD_OUT}'""",
+)
+
+
+@query(
+    "map_query_to_reference",
+    "cell_sims cell_labels",
+    """SELECT query_id, truth, label, round(w / n, 6) AS confidence FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY w DESC, first_rank) AS place FROM (
+    SELECT query_id, label, round(sum(sim), 10) AS w, count(*) AS n, min(rank) AS first_rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, ref_id) AS rank FROM cell_sims) WHERE rank <= 5 GROUP BY query_id, label))
+JOIN cell_labels ON cell_id = query_id WHERE place = 1""",
+)
+def map_query_to_reference(spark, d):
+    """Counts to labels: preprocess, encode, find neighbours among other batches, vote."""
+    from cytoplane.session import cut
+
+    nation, cells = fx.table(spark, d, "nation"), fx.table(spark, d, "customer")
+    labels = cells.join(nation, cells.c_nationkey == nation.n_nationkey).select(
+        F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("batch"), F.col("n_regionkey").alias("label")
+    )
+    vecs = cut(E.encode_cells(*fx.rna_side(spark, d), fx.head_weights()))
+    coded = vecs.withColumnRenamed("cell_id", "id").join(labels, "id")
+    held = F.col("batch") == fx.HELD_OUT
+    found = T.transfer_labels(coded.where(held).select("id", "vec"), coded.where(~held).select("id", "vec", "label"), 5)
+    truth = labels.select(F.col("id").alias("query_id"), F.col("label").alias("truth"))
+    return found.join(truth, "query_id").select("query_id", "truth", "label", r6("confidence").alias("confidence"))
