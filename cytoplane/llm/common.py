@@ -43,25 +43,24 @@ def components(edges: DataFrame) -> DataFrame:
     shared folder.
     """
     stars = cut(_small_star(edges.where("u <> v").select("u", "v")))
+    seen = _mark(stars)
     while True:
-        after = cut(_small_star(_large_star(stars)))
-        if _same(stars, after):
+        stars = cut(_small_star(_large_star(stars)))
+        now = _mark(stars)
+        if now == seen:
             break
-        stars = after
-    roots = after.select(F.col("v").alias("node")).distinct()
-    return after.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        seen = now
+    roots = stars.select(F.col("v").alias("node")).distinct()
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         roots.select("node", F.col("node").alias("root"))
     )
 
 
-def _same(a: DataFrame, b: DataFrame) -> bool:
-    """Both hold distinct rows, so equal counts and no row missing mean equality."""
-
-    def mark(df):
-        return df.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)),
-                      F.coalesce(F.sum(F.shiftright(F.xxhash64("v", "u"), 24)), F.lit(0))).first()
-
-    return tuple(mark(a)) == tuple(mark(b))
+def _mark(stars: DataFrame) -> tuple:
+    """Count and two sums over the hashes of distinct rows: the same for the same rows."""
+    return tuple(
+        stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.shiftright(F.xxhash64("v", "u"), 24))).first()
+    )
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -75,3 +74,39 @@ def _small_star(edges: DataFrame) -> DataFrame:
     least = down.groupBy("u").agg(F.min("v").alias("m"))
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+Pairs = Callable[[DataFrame], DataFrame]
+
+
+def bucket_links(
+    spread: DataFrame, near: Callable[[str, str], Column], verify: Pairs, detail: Pairs, alike: Callable[[str, str], Column]
+) -> DataFrame:
+    """Links ``u, v`` that join the same groups as all true pairs within buckets would.
+
+    ``spread(key, node, ...)`` lists the buckets of each node; ``near(a, b)`` is
+    a cheap test on two of its rows, made inside the join. First every node
+    meets the least node of its buckets, and ``verify`` keeps the true links of
+    that table ``u, v``. Then, in buckets that still hold several groups, nodes
+    of different groups meet; ``detail(nodes)`` gives what the full test
+    ``alike(a, b)`` needs of each (or leaves out those that can be alike to no
+    other), and it is made inside the join too. So a bucket of one group is
+    never expanded, and only true links become rows.
+    """
+    fields = ["node", *[c for c in spread.columns if c not in ("key", "node")]]
+    centre = spread.groupBy("key").agg(F.min(F.struct(*fields)).alias("c"), F.count("*").alias("m"))
+    centre = cut(centre.where("m > 1").select("key", "c.*"))
+    full = cut(spread.join(centre.select("key"), "key", "left_semi"))
+    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") > F.col("b.node")) & near("a", "b")
+    stars = cut(
+        full.alias("a").join(centre.alias("b"), met).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    )
+    links = cut(verify(stars))
+
+    labelled = cut(full.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    open_ = cut(labelled.join(mixed, "key", "left_semi"))
+    open_ = cut(open_.join(detail(open_.select("node").distinct()), "node"))
+    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & near("a", "b") & alike("a", "b")
+    rest = open_.alias("a").join(open_.alias("b"), met).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    return links.unionByName(rest.distinct())
