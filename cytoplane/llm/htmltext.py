@@ -151,7 +151,7 @@ def extract(page: str | None) -> str:
     article (menu, header, footer, sidebar, notice, advert, form, comments)
     weighs nothing, and neither does one outside ``article`` or ``main`` if the
     page has text in one. Text surges where the sum over ``WINDOW`` lines
-    passes a tenth of the highest sum (any text, inside ``article`` or
+    passes a tenth of the highest sum and the line weighs something (any text, inside ``article`` or
     ``main``), and dives where the sum is 0. Lines in between are kept, except
     those in such elements.
     """
@@ -163,8 +163,8 @@ def extract(page: str | None) -> str:
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
     least = 0 if marked else SURGE * max(sums, default=0)
     kept, running = [], False
-    for x, ok, s in zip(found, inside, sums):
-        running = s > 0 and (running or s > least)
+    for x, ok, s, w in zip(found, inside, sums, weights):
+        running = s > 0 and (running or (s > least and w > 0))
         if running and ok:
             kept.append(x.text)
     return "\n".join(kept)

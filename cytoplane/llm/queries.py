@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from cytoplane.llm import decontam, htmltext, langid, lines, minhash, mixing, quality, secrets, toxicity, warc
 from cytoplane.llm.common import table
+from cytoplane.llm.sql import ORACLES  # noqa: F401
 from cytoplane.session import workspace
 
 QUERIES = {}
-ORACLES: dict[str, str] = {}
+
 
 
 def query(func):
