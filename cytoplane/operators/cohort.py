@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,6 @@ from cytoplane.operators.ordering import exact_quantiles, with_running_sums
 # Fixed values.
 WHISKER = 1.5
 STARS = [(1e-4, "****"), (1e-3, "***"), (1e-2, "**"), (5e-2, "*")]
-MAX_CATEGORIES = 10000
 
 
 def value_counts(rows: DataFrame, column: str) -> DataFrame:
@@ -30,21 +29,28 @@ def crosstab(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.groupBy(a, b).agg(F.count("*").alias("n"))
 
 
-def categories(rows: DataFrame, column: str) -> list:
-    """Distinct values of a category column, refused beyond a fixed number."""
-    found = rows.select(column).distinct().orderBy(column).limit(MAX_CATEGORIES + 1).collect()
-    if len(found) > MAX_CATEGORIES:
-        raise ValueError(f"{column} has more than {MAX_CATEGORIES} values")
-    return [r[0] for r in found]
+def with_each(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """Every row beside every row of ``others``, a dimension (labels, sets, samples).
+
+    The dimension becomes one array beside each row and is unfolded in place:
+    the grid is the result asked for, but it is made without a shuffle.
+    """
+    entries = others.agg(F.collect_list(F.struct(*others.columns)).alias("e"))
+    return rows.withColumn("__e", F.explode(entries.scalar())).select(*rows.columns, "__e.*")
 
 
 def composition(rows: DataFrame, cluster: str, sample: str) -> DataFrame:
-    """Share of each cluster within each sample, zeros kept: the wide table, unpivoted."""
-    names = [c for c in categories(rows, cluster) if c is not None]
-    wide = rows.groupBy(sample).pivot(cluster, names).agg(F.count(F.lit(1))).na.fill(0)
-    total = sum((F.col(f"`{n}`") for n in names), F.lit(0))
-    shares = wide.select(sample, *[(F.col(f"`{n}`") / total).alias(str(n)) for n in names])
-    return shares.unpivot([sample], None, cluster, "share")
+    """Share of each cluster within each sample, zeros kept: ``sample, cluster, share``.
+
+    A missing cluster or sample is one of its own and counts in the totals.
+    """
+    counts = rows.groupBy(sample, cluster).agg(F.count("*").alias("__n"))
+    totals = rows.groupBy(sample).agg(F.count("*").alias("__all"))
+    grid = with_each(totals, rows.select(cluster).distinct())
+    seen = counts.select(F.col(sample).alias("__s"), F.col(cluster).alias("__c"), "__n")
+    met = F.col(sample).eqNullSafe(F.col("__s")) & F.col(cluster).eqNullSafe(F.col("__c"))
+    share = F.coalesce("__n", F.lit(0)) / F.col("__all")
+    return grid.join(seen, met, "left").select(sample, cluster, share.alias("share"))
 
 
 def attach_group(rows: DataFrame, obs: DataFrame, sample: str, group: str) -> DataFrame:
@@ -52,20 +58,22 @@ def attach_group(rows: DataFrame, obs: DataFrame, sample: str, group: str) -> Da
     return rows.join(obs.select(sample, group).distinct(), sample, "left")
 
 
-def mean_by_sample(
-    expr: DataFrame, obs: DataFrame, genes: list[int], sample: str = "sample"
-) -> DataFrame:
-    """Mean of chosen genes per sample over all its cells, absent rows as zero."""
+def mean_by_sample(expr: DataFrame, obs: DataFrame, genes: DataFrame, sample: str = "sample") -> DataFrame:
+    """Mean of the genes in ``genes(gene_id)`` per sample over all its cells, absent rows as zero."""
+    genes = genes.select("gene_id").distinct()
     sizes = obs.groupBy(sample).agg(F.count("*").alias("n_cells"))
-    chosen = expr.where(F.col("gene_id").isin(genes)).join(obs.select("cell_id", sample), "cell_id")
-    wide = chosen.groupBy(sample).pivot("gene_id", genes).agg(F.sum("value"))
-    means = sizes.join(wide, sample, "left").select(
-        sample,
-        "n_cells",
-        *[(F.coalesce(F.col(f"`{g}`"), F.lit(0.0)) / F.col("n_cells")).alias(str(g)) for g in genes],
+    sums = (
+        expr.join(genes, "gene_id", "left_semi")
+        .join(obs.select("cell_id", sample), "cell_id")
+        .groupBy(sample, "gene_id")
+        .agg(F.sum("value").alias("__s"))
+    )
+    mean = F.coalesce("__s", F.lit(0.0)) / F.col("n_cells")
+    return (
+        with_each(genes, sizes)
+        .join(sums, [sample, "gene_id"], "left")
+        .select(sample, "n_cells", "gene_id", mean.alias("mean_value"))
     )
-    long = means.unpivot([sample, "n_cells"], None, "gene_id", "mean_value")
-    return long.withColumn("gene_id", F.col("gene_id").cast("bigint"))
 
 
 def box_stats(rows: DataFrame, group: Sequence[str], value: str) -> DataFrame:
@@ -87,7 +95,6 @@ def box_stats(rows: DataFrame, group: Sequence[str], value: str) -> DataFrame:
 
 def marker_table(expr: DataFrame, obs: DataFrame, markers: DataFrame, label: str) -> DataFrame:
     """Per label and marker gene: mean value and share of cells above zero."""
-    labels = [x for x in categories(obs, label) if x is not None]
     genes = markers.select("gene_id").distinct()
     sizes = obs.groupBy(label).agg(F.count("*").alias("n_cells"))
     seen = (
@@ -96,13 +103,9 @@ def marker_table(expr: DataFrame, obs: DataFrame, markers: DataFrame, label: str
         .groupBy(label, "gene_id")
         .agg(F.sum("value").alias("s"), F.count_if(F.col("value") > 0).alias("c"))
     )
-    # One small array of labels unfolded per marker row.
-    wanted = markers.select(
-        "set_name", "gene_id", F.explode(F.array(*[F.lit(x) for x in labels])).alias(label)
-    )
+    wanted = with_each(markers.select("set_name", "gene_id"), sizes.where(F.col(label).isNotNull()))
     return (
-        wanted.join(sizes, label)
-        .join(seen, [label, "gene_id"], "left")
+        wanted.join(seen, [label, "gene_id"], "left")
         .select(
             "set_name",
             "gene_id",
@@ -151,18 +154,14 @@ def signature_score(expr: DataFrame, cells: DataFrame, markers: DataFrame, n_gen
         expr.join(markers.select("set_name", "gene_id").distinct(), "gene_id")
         .groupBy("cell_id", "set_name")
         .agg(F.sum("value").alias("set_sum"))
-    )
-    names = F.array(*[F.lit(x) for x in categories(markers, "set_name")])
+        .groupBy("cell_id")
+        .agg(F.map_from_entries(F.collect_list(F.struct("set_name", "set_sum"))).alias("sums"))
+    )  # a cell's own sets
     zero = F.lit(0.0)
-    score = F.coalesce("set_sum", zero) / F.col("set_size") - F.coalesce("all_sum", zero) / F.lit(n_genes)
-    return (
-        cells.select("cell_id")
-        .join(whole, "cell_id", "left")
-        .withColumn("set_name", F.explode(names))
-        .join(inside, ["cell_id", "set_name"], "left")
-        .join(sizes, "set_name")
-        .select("cell_id", "set_name", score.alias("score"))
-    )
+    own = F.coalesce(F.try_element_at("sums", F.col("set_name")), zero)
+    score = own / F.col("set_size") - F.coalesce("all_sum", zero) / F.lit(n_genes)
+    cells = cells.select("cell_id").join(whole, "cell_id", "left").join(inside, "cell_id", "left")
+    return with_each(cells, sizes).select("cell_id", "set_name", score.alias("score"))
 
 
 def ranks_with_ties(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -242,13 +241,23 @@ def ranksum(
     return out.withColumn("p", _normal_p("z")).withColumn("mark", stars(F.col("p")))
 
 
-def attention_summary(weights: DataFrame, obs: DataFrame, label: str) -> DataFrame:
-    """Mean attention per label and gene over the cells that carry the gene."""
-    return (
+def attention_summary(weights: DataFrame, obs: DataFrame, label: str, n_top: int | None = None) -> DataFrame:
+    """Mean attention per label and gene over the cells that carry the gene.
+
+    With ``n_top`` only the genes of the highest means of each label, with
+    their ``rank`` from 1; the smaller gene index first among equals.
+    """
+    means = (
         weights.join(obs.select("cell_id", label), "cell_id")
         .groupBy(label, "gene_ix")
         .agg(F.avg("weight").alias("mean_weight"), F.count("*").alias("n_cells"))
     )
+    if n_top is None:
+        return means
+    means = means.withColumn("mean_weight", F.round("mean_weight", 10))
+    # Spark cuts each task's rows to n_top a label before the shuffle
+    order = Window.partitionBy(label).orderBy(F.desc("mean_weight"), "gene_ix")
+    return means.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n_top)
 
 
 def epoch_metrics(log: DataFrame, epoch: str, part: str, loss: str, hit: Column) -> DataFrame:

@@ -76,8 +76,7 @@ block(
 
 
 def _gene_means(spark, d):
-    genes = C.categories(fx.markers(spark, d), "gene_id")
-    return C.mean_by_sample(fx.norm(spark, d), fx.obs(spark, d), genes)
+    return C.mean_by_sample(fx.norm(spark, d), fx.obs(spark, d), fx.markers(spark, d))
 
 
 @query(
