@@ -37,6 +37,14 @@ def build_vocab(spark, d):
     return X.build_vocab(_docs(spark, d))
 
 
+@query("load_vocab", "vocab", "SELECT token, id FROM vocab")
+def load_vocab(spark, d):
+    """A vocabulary written as lines and read back with ids by line."""
+    path = workspace(spark, "vocab_lines")
+    X.save_vocab(X.build_vocab(_docs(spark, d)), path)
+    return X.load_vocab(spark, path)
+
+
 @query("save_vocab", "vocab", "SELECT token FROM vocab")
 def save_vocab(spark, d):
     """Round trip through token lines."""
@@ -95,7 +103,7 @@ block(
     SELECT token, max(first) AS first, max(n) AS n FROM (
       SELECT word AS token, n, 0 AS first FROM word_counts WHERE n >= 20
       UNION ALL SELECT CASE WHEN i > 1 THEN '##' ELSE '' END || substr(word, CAST(i AS BIGINT), CAST(l AS BIGINT)) AS token, sum(n) AS n, 0 AS first
-        FROM word_counts, (SELECT unnest(range(1, 13)) AS i), (SELECT unnest(range(1, 4)) AS l)
+        FROM (SELECT word, n, unnest(range(1, CAST(length(word) AS BIGINT) + 1)) AS i FROM word_counts), (SELECT unnest(range(1, 4)) AS l)
         WHERE i + l - 1 <= length(word) GROUP BY 1 HAVING sum(n) >= 50
       UNION ALL SELECT unnest(['[UNK]', '[CLS]', '[SEP]', '[PAD]', '[MASK]']), 0, 1) GROUP BY token)""",
 )
@@ -111,7 +119,7 @@ def _piece_vocab(spark, d):
     words = _tokens(spark, d).select(F.explode_outer("words").alias("word")).where("word IS NOT NULL")
     counts = cut(words.groupBy("word").agg(F.count("*").alias("n")))
     frequent = counts.where("n >= 20").select(F.col("word").alias("token"), "n")
-    starts = F.explode(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(12))))
+    starts = F.explode(F.sequence(F.lit(1), F.length("word")))
     cuts = (
         counts.withColumn("i", starts)
         .withColumn("l", F.explode(F.sequence(F.lit(1), F.lit(3))))
@@ -140,7 +148,7 @@ block(
   SELECT word, pos + greatest(coalesce(max(length(v.token) - m), 1), 1), list_append(any_value(pieces),
     coalesce(arg_max(v.token, length(v.token)), CASE WHEN pos > 0 THEN '##' ELSE '' END || substr(word, pos + 1, 1)))
   FROM (SELECT c.word, c.pos, c.pieces, CASE WHEN c.pos > 0 THEN 2 ELSE 0 END AS m,
-          unnest(list_transform(range(1, CAST(least(length(c.word) - c.pos, 40) AS BIGINT) + 1), lambda l: CASE WHEN c.pos > 0 THEN '##' ELSE '' END || substr(c.word, CAST(c.pos + 1 AS BIGINT), l))) AS try
+          unnest(list_transform(range(1, CAST(least(length(c.word) - c.pos, (SELECT max(length(token)) FROM piece_vocab)) AS BIGINT) + 1), lambda l: CASE WHEN c.pos > 0 THEN '##' ELSE '' END || substr(c.word, CAST(c.pos + 1 AS BIGINT), l))) AS try
         FROM cuts c WHERE c.pos < length(c.word)) t LEFT JOIN piece_vocab v ON v.token = t.try GROUP BY word, pos""",
 )
 block(
