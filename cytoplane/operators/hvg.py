@@ -11,7 +11,8 @@ Definition used here, on log1p values with absent rows counted as zero:
 5. with a number of genes: keep scores >= the N-th largest (ties keep more),
    otherwise cut-offs on mean and score;
 6. with batches: run per batch over the genes seen in it, then take exactly N
-   by (number of batches that keep the gene, mean score), gene index last.
+   by (number of batches that keep the gene, mean score over all batches, a
+   batch without the gene giving it zero), gene index last.
 """
 
 from __future__ import annotations
@@ -120,9 +121,11 @@ def select_hvg_batched(moments: DataFrame, n_top: int) -> DataFrame:
     scored = cut(normalized_dispersion(moments))
     kept = _at_least_nth(scored, n_top).select("batch", "gene_id", F.lit(1).alias("hit"))
     merged = scored.join(kept, ["batch", "gene_id"], "left")
-    genes = merged.groupBy("gene_id").agg(
-        F.count("hit").alias("n_batches"), F.round(F.avg("score"), 10).alias("score")
-    )
+    # Batches that do not show the gene count as zero; those in which it has no score do not count.
+    n_batches = scored.agg(F.countDistinct("batch")).scalar()
+    counted = n_batches - F.count("*") + F.count("score")
+    mean = F.coalesce(F.sum("score"), F.lit(0.0)) / F.nullif(counted, F.lit(0))
+    genes = merged.groupBy("gene_id").agg(F.count("hit").alias("n_batches"), F.round(mean, 10).alias("score"))
     return genes.orderBy(
         F.desc("n_batches"), F.col("score").desc_nulls_last(), "gene_id"
     ).limit(n_top)

@@ -161,14 +161,27 @@ def hvg_select(spark, d):
     return kept.select("gene_id", "bin", r6("log_mean").alias("log_mean"), r6("score").alias("score"))
 
 
+block(
+    "batch_floors",
+    "batch_scored",
+    f"""SELECT batch, min(score) AS floor FROM (SELECT batch, score, row_number() OVER (PARTITION BY batch ORDER BY score DESC) AS r
+    FROM batch_scored WHERE score IS NOT NULL) WHERE r <= {fx.N_TOP} GROUP BY batch""",
+)
+# every gene in every batch: zero where the batch does not show it, null where it shows it without a score
+block(
+    "batch_grid",
+    "batch_scored batch_floors",
+    """SELECT g.gene_id, b.batch, CASE WHEN s.gene_id IS NULL THEN 0 ELSE s.score END AS score, coalesce(s.score >= f.floor, false) AS hit
+  FROM (SELECT DISTINCT gene_id FROM batch_scored) g CROSS JOIN (SELECT DISTINCT batch FROM batch_scored) b
+  LEFT JOIN batch_scored s ON s.gene_id = g.gene_id AND s.batch = b.batch LEFT JOIN batch_floors f ON f.batch = b.batch""",
+)
+
+
 @query(
     "hvg_select_batched",
-    "batch_scored",
-    f"""SELECT gene_id, CAST(count(hit) AS BIGINT) AS n_batches, round(avg(score), 6) AS score FROM (
-  SELECT s.gene_id, s.score, CASE WHEN s.score >= f.floor THEN 1 END AS hit FROM batch_scored s JOIN (
-    SELECT batch, min(score) AS floor FROM (SELECT batch, score, row_number() OVER (PARTITION BY batch ORDER BY score DESC) AS r
-      FROM batch_scored WHERE score IS NOT NULL) WHERE r <= {fx.N_TOP} GROUP BY batch) f USING (batch))
-GROUP BY gene_id ORDER BY count(hit) DESC, round(avg(score), 10) DESC NULLS LAST, gene_id LIMIT {fx.N_TOP}""",
+    "batch_grid",
+    f"""SELECT gene_id, count(*) FILTER (hit) AS n_batches, round(avg(score), 6) AS score FROM batch_grid
+GROUP BY gene_id ORDER BY count(*) FILTER (hit) DESC, round(avg(score), 10) DESC NULLS LAST, gene_id LIMIT {fx.N_TOP}""",
 )
 def hvg_select_batched(spark, d):
     genes = H.select_hvg_batched(_batch_moments(spark, d), fx.N_TOP)
