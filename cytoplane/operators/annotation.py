@@ -33,13 +33,25 @@ def pair_modalities(left: DataFrame, right: DataFrame, names: tuple[str, str]) -
     return side(left, names[0]).join(side(right, names[1]), "cell_id")
 
 
-def unpaired(left: DataFrame, right: DataFrame, names: tuple[str, str]) -> DataFrame:
-    def only(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
-        return a.select("cell_id").join(b.select("cell_id"), "cell_id", "left_anti").withColumn(
-            "present_in", F.lit(name)
-        )
+def pair_all(left: DataFrame, right: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """As ``pair_modalities`` with the unpaired cells too: one full join.
+
+    ``present_in`` is the name of the only table that holds the cell, or
+    ``both``; what the other would give is null.
+    """
+    def side(df: DataFrame, name: str) -> DataFrame:
+        keep = [F.col(c).alias(f"{c}_{name}") for c in df.columns if c != "cell_id"]
+        return df.select("cell_id", *keep, F.lit(True).alias(f"__{name}"))
+
+    joined = side(left, names[0]).join(side(right, names[1]), "cell_id", "full")
+    one, two = (F.col(f"__{n}").isNotNull() for n in names)
+    where = F.when(one & two, "both").when(one, names[0]).otherwise(names[1])
+    return joined.withColumn("present_in", where).drop(*[f"__{n}" for n in names])
 
-    return only(left, right, names[0]).unionByName(only(right, left, names[1]))
+
+def unpaired(left: DataFrame, right: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """Cells of one table only, with its name."""
+    return pair_all(left, right, names).where("present_in <> 'both'").select("cell_id", "present_in")
 
 
 def recode(column: Column, mapping: dict[str, str]) -> Column:

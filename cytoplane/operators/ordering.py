@@ -12,11 +12,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cytoplane.session import cut
 
 _PART, _PLACE, _BASE = "__part", "__place", "__base"
 _PLACE_BITS = (1 << 33) - 1
+SHARED_BYTES = 32 << 20
+
+
+def _width(kind: T.DataType) -> int:
+    """Bytes allowed for a group value; text is taken at a generous length."""
+    return 16 if isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.BooleanType)) else 512
 
 
 def _sorted_slices(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
@@ -67,6 +74,11 @@ def with_position_in_group(
     )
     if size is None:
         starts = starts.drop("__size")
+    # One row per group: shared if it measures small, so that a hot group moves no rows.
+    starts = cut(starts)
+    size_bytes = starts.count() * (64 + sum(_width(starts.schema[g].dataType) for g in group))
+    if size_bytes <= SHARED_BYTES:
+        starts = F.broadcast(starts)
     keys = [F.col(f"p.{g}").eqNullSafe(F.col(f"s.{g}")) for g in group]
     extra = [] if size is None else [F.col(size)]
     return (

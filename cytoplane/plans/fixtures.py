@@ -361,9 +361,8 @@ def rna_side(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Attenti
     from cytoplane.sources.records import build_records
 
     rows = norm(spark, d).select("cell_id", F.col("gene_id").alias("gene_ix"), "value")
-    cells = rows.select("cell_id").distinct()
     genes = var_genes(spark, d).select("gene_ix")
-    return build_records(rows, cells), gene_vectors(genes), attention_weights(0.0)
+    return build_records(rows), gene_vectors(genes), attention_weights(0.0)
 
 
 def protein_side(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, AttentionWeights]:
@@ -375,5 +374,4 @@ def protein_side(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Att
     brands = table(spark, d, "part").select(
         F.expr("cast(substring(p_brand, 7) as bigint)").alias("gene_ix")
     ).distinct()
-    cells = rows.select("cell_id").distinct()
-    return build_records(rows, cells), gene_vectors(brands, 0.5), attention_weights(0.5)
+    return build_records(rows), gene_vectors(brands, 0.5), attention_weights(0.5)

@@ -304,26 +304,14 @@ def pair_modalities(spark, d):
 
     def records(rows):
         rows = rows.select("cell_id", F.col("gene_id").alias("gene_ix"), "value")
-        return R.build_records(rows, rows.select("cell_id").distinct())
+        return R.build_records(rows)
 
     rna, protein = records(fx.expr(spark, d)), records(fx.expr_protein(spark, d))
-    names = ("rna", "protein")
-    both = A.pair_modalities(rna, protein, names).select(
-        "cell_id",
-        F.size("feature_rna").cast("bigint").alias("n_rna"),
-        F.size("feature_protein").cast("bigint").alias("n_protein"),
-        F.lit("both").alias("present_in"),
-    )
-    sizes = rna.select("cell_id", F.size("feature").cast("bigint").alias("n_rna"))
-    sizes_p = protein.select("cell_id", F.size("feature").cast("bigint").alias("n_protein"))
-    alone = (
-        A.unpaired(rna, protein, names)
-        .join(sizes, "cell_id", "left")
-        .join(sizes_p, "cell_id", "left")
-        .na.fill(0, ["n_rna", "n_protein"])
-        .select("cell_id", "n_rna", "n_protein", "present_in")
-    )
-    return both.unionByName(alone)
+    joined = A.pair_all(rna, protein, ("rna", "protein"))
+    sizes = [
+        F.coalesce(F.size(f"feature_{n}"), F.lit(0)).cast("bigint").alias(f"n_{n}") for n in ("rna", "protein")
+    ]
+    return joined.select("cell_id", *sizes, "present_in")
 
 
 @query(

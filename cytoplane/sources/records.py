@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +15,8 @@ from cytoplane.operators.ordering import with_position_in_group
 
 # Fixed value: added to every entry when zeros are exported too.
 EPSILON = 1e-5
+DENSE_BYTES = 32 << 20
+SHARED_BYTES = 32 << 20
 
 
 def encode_dictionary(obs: DataFrame, columns: dict[str, str], order: str = "cell_ix") -> DataFrame:
@@ -40,6 +42,10 @@ def apply_dictionary(
     part = dictionary.where(F.col("kind") == kind).select(
         F.col("value").alias("__value"), F.col("code").alias(name)
     )
+    # one row per value of the column: shared if it measures small, so that a hot value moves no rows
+    size = part.agg(F.sum(F.octet_length("__value") + 64)).first()[0] or 0
+    if size <= SHARED_BYTES:
+        part = F.broadcast(part)
     joined = df.join(part, df[column].cast("string") == F.col("__value"), "left").drop("__value")
     if not strict:
         return joined
@@ -59,36 +65,46 @@ def nonzero(expr: DataFrame) -> DataFrame:
     return expr.where(F.col("value") > 0)
 
 
-def densify(records: DataFrame, n_genes: int, epsilon: float = 0.0) -> DataFrame:
+def densify(records: DataFrame, n_genes: int, epsilon: float = 0.0, batch_bytes: int = DENSE_BYTES) -> DataFrame:
     """Every gene of the vocabulary in every record: absent entries are zero.
 
     ``epsilon`` is added to all entries; entries below zero are left out. Works
-    record by record, so the dense grid is never shuffled.
+    record by record, so the dense grid is never shuffled; a task holds about
+    ``batch_bytes`` of dense rows, or one row if that is larger.
     """
-
-    @F.pandas_udf("struct<feature:array<bigint>,value:array<double>>")
-    def spread(feature: pd.Series, value: pd.Series) -> pd.DataFrame:
-        out = {"feature": [], "value": []}
-        for at, x in zip(feature, value):
-            dense = np.zeros(n_genes)
-            dense[np.asarray(at, dtype=np.int64)] = x
-            dense += epsilon
-            keep = np.flatnonzero(dense >= 0)
-            out["feature"].append(keep)
-            out["value"].append(dense[keep])
-        return pd.DataFrame(out)
-
-    wide = records.withColumn("__d", spread("feature", "value"))
-    return wide.withColumn("feature", F.col("__d.feature")).withColumn(
-        "value", F.col("__d.value")
-    ).drop("__d")
-
-
-def build_records(expr: DataFrame, cells: DataFrame) -> DataFrame:
+    at_once = max(1, batch_bytes // (16 * max(n_genes, 1)))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, at_once):
+                batch = whole.slice(low, at_once)
+                feature, value = batch.column("feature"), batch.column("value")
+                sizes = np.diff(np.asarray(feature.offsets))
+                row = np.repeat(np.arange(batch.num_rows), sizes)
+                dense = np.zeros((batch.num_rows, n_genes))
+                dense[row, np.asarray(feature.flatten(), dtype=np.int64)] = np.asarray(value.flatten())
+                dense += epsilon
+                keep = dense >= 0
+                edges = pa.array(np.concatenate([[0], np.cumsum(keep.sum(axis=1))]), pa.int32())
+                genes = pa.array(np.nonzero(keep)[1].astype(np.int64))
+                lists = {
+                    "feature": pa.ListArray.from_arrays(edges, genes),
+                    "value": pa.ListArray.from_arrays(edges, pa.array(dense[keep])),
+                }
+                yield pa.RecordBatch.from_arrays(
+                    [lists.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names
+                )
+
+    ready = records.withColumns({"feature": F.col("feature").cast("array<bigint>"), "value": F.col("value").cast("array<double>")})
+    return ready.mapInArrow(spread, ready.schema)
+
+
+def build_records(expr: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """One row per cell: gene indexes in order, their values, and the cell's codes.
 
-    ``expr`` is ``cell_id, gene_ix, value``; a cell without rows keeps empty
-    lists. A record is bounded by the gene vocabulary.
+    ``expr`` is ``cell_id, gene_ix, value``; a cell of ``cells`` without rows
+    keeps empty lists. Without ``cells``, those of ``expr`` are taken, and
+    nothing is joined. A record is bounded by the gene vocabulary.
     """
     packed = expr.groupBy("cell_id").agg(
         F.array_sort(F.collect_list(F.struct("gene_ix", "value"))).alias("__e")
@@ -98,6 +114,8 @@ def build_records(expr: DataFrame, cells: DataFrame) -> DataFrame:
         F.col("__e.gene_ix").cast("array<bigint>").alias("feature"),
         F.col("__e.value").cast("array<double>").alias("value"),
     )
+    if cells is None:
+        return lists
     empty = lambda c, t: F.coalesce(F.col(c), F.array().cast(t)).alias(c)
     extra = [c for c in cells.columns if c != "cell_id"]
     return cells.join(lists, "cell_id", "left").select(
@@ -106,9 +124,13 @@ def build_records(expr: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def write_records(records: DataFrame, path: str) -> None:
-    """One directory per batch; a rerun replaces only the batches it holds."""
+    """One directory per batch; a rerun replaces only the batches it holds.
+
+    Rows are brought together by batch first, in as many tasks as a batch's
+    bytes ask for, so that tasks x batches small files don't arise.
+    """
     (
-        records.write.mode("overwrite")
+        records.hint("rebalance", "batch").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("batch")
         .parquet(path)
