@@ -59,7 +59,7 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
 
     from cytoplane.plans import ORACLES, QUERIES
-    from cytoplane.session import get_spark
+    from cytoplane.session import clean, get_spark
 
     spark = get_spark("bench", f"local[{cores}]")
     spark.sparkContext.setLogLevel("ERROR")
@@ -70,6 +70,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        clean(spark)
     line = {
         "metric": "headline_total",
         "value": round(sum(times.values()), 3),

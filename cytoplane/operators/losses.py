@@ -2,7 +2,8 @@
 
 These are read-outs: the tables come from a model, the reports say how well it
 does. Per-row parts are column expressions; contrastive reports gather one
-mini-batch at a time, whose size is fixed when mini-batches are assigned.
+mini-batch at a time, whose size is fixed when mini-batches are assigned, and
+score it tile by tile.
 """
 
 from __future__ import annotations
@@ -20,20 +21,13 @@ CONFIDENCE = 0.9
 UDA_THRESHOLD = 0.6
 JOINT_FLOOR = 1e-9
 
-MAX_MINIBATCH = 8192
+TILE = 1024  # rows of a mini-batch that are scored at once against all of it
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt(np.maximum((m * m).sum(axis=1, keepdims=True), V.NORM_FLOOR))
 
 
-def _bounded(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A mini-batch is small by construction; refuse a group that is not."""
-    if len(pdf) > MAX_MINIBATCH:
-        raise ValueError(f"mini-batch of {len(pdf)} rows; assign mini-batches first")
-    return pdf
-
-
 def _log_sum(scores: np.ndarray) -> np.ndarray:
     top = scores.max(axis=1)
     return top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
@@ -49,14 +43,16 @@ def contrastive_loss(
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _bounded(pdf)
         a, b = _unit(np.stack(pdf["a"])), _unit(np.stack(pdf["b"]))
-        rows = 0.0
+        rows = np.zeros(len(a))
         for one, two in ((a, b), (b, a)):
-            other = one @ two.T / temperature
-            own = one @ one.T / temperature
-            np.fill_diagonal(own, -np.inf)
-            rows = rows + _log_sum(np.hstack([other, own])) - np.diag(other)
+            for low in range(0, len(a), TILE):
+                part = one[low : low + TILE]
+                at = np.arange(len(part))
+                other = part @ two.T / temperature
+                own = part @ one.T / temperature
+                own[at, low + at] = -np.inf
+                rows[low : low + TILE] += _log_sum(np.hstack([other, own])) - other[at, low + at]
         return pd.DataFrame({batch: [pdf[batch].iloc[0]], "n": [len(a)], "loss": [rows.mean()]})
 
     return pairs.groupBy(batch).applyInPandas(run, f"{batch} bigint, n bigint, loss double")
@@ -72,18 +68,20 @@ def supervised_contrastive(
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _bounded(pdf)
         v, label = np.stack(pdf["vec"]), pdf["label"].to_numpy()
-        scores = v @ v.T / temperature
-        np.fill_diagonal(scores, -np.inf)
-        same = label[:, None] == label[None, :]
-        np.fill_diagonal(same, False)
-        partners = same.sum(axis=1)
+        logp, partners = np.zeros(len(v)), np.zeros(len(v), dtype=np.int64)
+        for low in range(0, len(v), TILE):
+            part = v[low : low + TILE]
+            at = np.arange(len(part))
+            scores = part @ v.T / temperature
+            scores[at, low + at] = -np.inf
+            same = label[low : low + TILE, None] == label[None, :]
+            same[at, low + at] = False
+            partners[low : low + TILE] = same.sum(axis=1)
+            if len(v) > 1:
+                logp[low : low + TILE] = np.where(same, scores - _log_sum(scores)[:, None], 0.0).sum(axis=1)
         has = partners > 0
-        loss = None
-        if has.any():
-            logp = np.where(same, scores - _log_sum(scores)[:, None], 0.0).sum(axis=1)
-            loss = -(logp[has] / partners[has]).mean()
+        loss = -(logp[has] / partners[has]).mean() if has.any() else None
         return pd.DataFrame({batch: [pdf[batch].iloc[0]], "anchors": [int(has.sum())], "loss": [loss]})
 
     return rows.groupBy(batch).applyInPandas(run, f"{batch} bigint, anchors bigint, loss double")

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cytoplane.session import cut
+
 RESIDENT_BYTES = 64 << 20
 BLOCK_BYTES = 32 << 20
 TILE_CELLS = 4_000_000
@@ -238,7 +240,8 @@ def compare(
     to shuffle and more memory per task.
     """
     grouped = "grp" in refs.columns
-    queries, refs = _standard(queries), _standard(refs)
+    # The references are measured and then read again: written once.
+    queries, refs = _standard(queries), cut(_standard(refs))
     size = refs.agg(
         F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")
     ).first()

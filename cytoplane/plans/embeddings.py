@@ -112,7 +112,7 @@ UNION ALL SELECT -1, max(n), 0 FROM (SELECT count(*) AS n FROM expr GROUP BY cel
 def pad_sequences(spark, d):
     """Gene lists cut or padded to 40, and (as cell -1) the longest length."""
     rows = fx.expr(spark, d).select("cell_id", F.col("gene_id").alias("gene_ix"), "value")
-    records = R.build_records(rows, rows.select("cell_id").distinct())
+    records = R.build_records(rows)
     padded = AR.pad_or_cut(F.col("feature"), F.lit(40), F.lit(0).cast("bigint"))
     long = records.select("cell_id", F.posexplode(padded).alias("pos", "gene_ix"))
     most = records.agg(F.max(F.size("feature")).cast("bigint").alias("pos")).select(
@@ -137,7 +137,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY md5(cell_id ||
 )
 def augment_expression(spark, d):
     rows = fx.expr(spark, d).select("cell_id", F.col("gene_id").alias("gene_ix"), "value")
-    records = R.build_records(rows, rows.select("cell_id").distinct())
+    records = R.build_records(rows)
     out = augment_records(records, seed=5, rate=0.05)
     zipped = F.arrays_zip("feature", "value", "aug_feature", "aug_value")
     return out.select("cell_id", F.posexplode(zipped).alias("pos", "e")).select(
@@ -327,8 +327,8 @@ def modularity(spark, d):
 
 @query("community_detection")
 def community_detection(spark, d):
-    found = G.communities(G.knn_graph(fx.points(spark, d)), RESOLUTIONS)
-    return found.groupBy("res", "label").agg(F.count("*").alias("size"))
+    """Resolution, node and community label, every node at every resolution."""
+    return G.communities(G.knn_graph(fx.points(spark, d)), RESOLUTIONS)
 
 
 @query("resolution_sweep_table")
@@ -503,6 +503,20 @@ def attention_summary(spark, d):
     return out.withColumn("mean_weight", r6("mean_weight"))
 
 
+@query(
+    "attention_top_genes",
+    "rna_attn obs",
+    """SELECT grp, gene_ix, round(mean_weight, 6) AS mean_weight, n_cells, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(mean_weight, 10) DESC, gene_ix) AS rank FROM (
+    SELECT grp, gene_ix, avg(weight) AS mean_weight, count(*) AS n_cells FROM rna_attn JOIN obs USING (cell_id) GROUP BY ALL)) WHERE rank <= 20""",
+)
+def attention_top_genes(spark, d):
+    """The twenty genes of the highest mean attention of each label."""
+    weights = E.export_attention(*fx.rna_side(spark, d), "RNA")
+    out = C.attention_summary(weights, fx.obs(spark, d), "grp", n_top=20)
+    return out.withColumn("mean_weight", r6("mean_weight"))
+
+
 @query("fit_linear_embedding")
 def fit_linear_embedding(spark, d):
     """Principal components over the most variable genes."""
@@ -514,7 +528,7 @@ def fit_linear_embedding(spark, d):
     genes = with_position(top.select("gene_id"), ["gene_id"], "gene_ix")
     size = genes.count()
     entries = rows.join(genes, "gene_id").select("cell_id", "gene_ix", "value")
-    records = R.build_records(entries, rows.select("cell_id").distinct())
+    records = R.build_records(entries)
     dense = R.densify(records, size).select("cell_id", F.col("value").alias("features"))
     return _long(E.fit_linear_embedding(dense, 16), "cell_id", F.col("vec"))
 
@@ -545,7 +559,21 @@ def fit_label_classifier(spark, d):
 def predict_labels(spark, d):
     model, rows = _classified(spark, d)
     out = CL.predict(model, rows.where("batch = 1"))
-    return out.select("id", F.col("code").alias("truth"), F.col("pred_code").alias("pred"), r6(F.array_max("probability")).alias("confidence"))
+    names = R.encode_dictionary(rows.select(F.col("code").alias("label"), "id"), {"label": "label"}, "id")
+    codes = names.select((F.col("value").cast("int")).alias("pred_code"), F.col("value").alias("pred_label"))
+    out = out.join(F.broadcast(codes), "pred_code", "left")  # one row per class
+    return out.select(
+        "id", F.col("code").alias("truth"), F.col("pred_code").alias("pred"), "pred_label", r6(F.array_max("probability")).alias("confidence")
+    )
+
+
+@query("predict_label_scores")
+def predict_label_scores(spark, d):
+    """Accuracy and F1 of the classifier on the batch held out."""
+    model, rows = _classified(spark, d)
+    out = CL.predict(model, rows.where("batch = 1")).select("id", F.col("code").alias("truth"), F.col("pred_code").alias("pred"))
+    scores = M.accuracy(out).withColumn("k", F.lit(0)).join(M.f1_summary(out).withColumn("k", F.lit(0)), "k")
+    return scores.select("n", *[r6(c).alias(c) for c in ("accuracy", "f1_median", "f1_macro", "f1_micro")])
 
 
 # ------------------------------------------------- query-to-reference mapping

@@ -82,7 +82,18 @@ def cut(df: DataFrame) -> DataFrame:
 
 def workspace(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, for tables passed between stages."""
-    return f"{checkpoint_root(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    return f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _tables(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what this application has passed between stages; call it once results are written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(scan: DataFrame) -> DataFrame:
