@@ -302,12 +302,35 @@ def silhouette(spark, d):
     return M.silhouette(fx.points(spark, d)).withColumn("silhouette", r6("silhouette"))
 
 
-@query("cluster_accuracy")
+# The best one-to-one match by dynamic programming over sets of labels: after each
+# cluster, the most rows matched with the labels of each set taken.
+block("label_bits", "cells_n", "SELECT truth, CAST(1 AS BIGINT) << CAST(row_number() OVER (ORDER BY truth) - 1 AS BIGINT) AS bit FROM cells_n GROUP BY truth")
+block("cluster_steps", "cells_n", "SELECT pred, row_number() OVER (ORDER BY pred) - 1 AS step FROM cells_n GROUP BY pred")
+block(
+    "matchings",
+    "cells_n label_bits cluster_steps",
+    """SELECT CAST(0 AS BIGINT) AS step, CAST(0 AS BIGINT) AS taken, CAST(0 AS BIGINT) AS matched
+  UNION ALL
+  SELECT step + 1, taken, CAST(max(matched) AS BIGINT) FROM (
+    SELECT m.step, m.taken | coalesce(l.bit, 0) AS taken, m.matched + coalesce(c.n, 0) AS matched
+    FROM matchings m JOIN cluster_steps s ON s.step = m.step
+    JOIN (SELECT truth, bit FROM label_bits UNION SELECT NULL, 0) l ON (m.taken & l.bit) = 0
+    LEFT JOIN cells_n c ON c.truth = l.truth AND c.pred = s.pred) GROUP BY step, taken""",
+)
+block(
+    "best_match",
+    "matchings cells_n cluster_steps",
+    """SELECT max(matched) AS matched, (SELECT CAST(sum(n) AS BIGINT) FROM cells_n) AS n FROM matchings
+  WHERE step = (SELECT count(*) FROM cluster_steps)""",
+)
+
+
+@query("cluster_accuracy", "best_match", "SELECT matched, n, matched / n AS accuracy FROM best_match")
 def cluster_accuracy(spark, d):
     return M.cluster_accuracy(fx.preds(spark, d))
 
 
-@query("cluster_error")
+@query("cluster_error", "best_match", "SELECT 1 - matched / n AS error FROM best_match")
 def cluster_error(spark, d):
     return M.cluster_error(fx.preds(spark, d))
 
