@@ -25,13 +25,14 @@ def once(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def share_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` marked for broadcast if its counted rows fit ``limit``; else unmarked.
+def share_if_small(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if its measured size fits ``limit``; else unmarked.
 
-    ``row_bytes`` is an upper bound of a row, so ``df`` holds fixed-width
-    columns only. Either way a join returns the same rows.
+    ``row_bytes`` is an upper bound of a row, or a column that gives it. Either
+    way a join returns the same rows.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    size = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -42,7 +43,8 @@ def components(edges: DataFrame) -> DataFrame:
     very many links is only many rows of a join. Each step is written to the
     shared folder.
     """
-    stars = cut(_small_star(edges.where("u <> v").select("u", "v")))
+    edges = cut(edges.where("u <> v").select("u", "v").distinct())  # made once, however dear they are
+    stars = cut(_small_star(edges))
     seen = _mark(stars)
     while True:
         stars = cut(_small_star(_large_star(stars)))
@@ -70,7 +72,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

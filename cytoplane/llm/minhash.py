@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cytoplane.llm import bytework
-from cytoplane.llm.common import components, share_if_small
+from cytoplane.llm.common import bucket_links, components, share_if_small
 from cytoplane.session import cut
 
 WIDTH = 5
@@ -156,20 +156,53 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _texts(nodes: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """``node, text`` for each of ``nodes(node)``."""
+    wanted = cut(nodes.join(reps.select("node", "copy"), "node"))
+    return texts.join(share_if_small(wanted, 80), ["node", "copy"]).groupBy("node").agg(F.first("text").alias("text"))
+
+
 def _linked(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of ``pairs(u, v)`` whose texts are alike by exact count."""
-    nodes = cut(
-        pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-        .join(reps.select("node", "copy"), "node")
-    )
-    held = (
-        texts.join(share_if_small(nodes, 80), ["node", "copy"])
-        .groupBy("node").agg(F.first("text").alias("text"))
-    )
-    held = cut(held)
+    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    held = cut(_texts(nodes, reps, texts))
     left = pairs.join(held.select(F.col("node").alias("u"), F.col("text").alias("u_text")), "u")
     both = left.join(held.select(F.col("node").alias("v"), F.col("text").alias("v_text")), "v")
-    return cut(both.select("u", "v", "u_text", "v_text").mapInArrow(_verify, "u long, v long"))
+    return both.select("u", "v", "u_text", "v_text").mapInArrow(_verify, "u long, v long")
+
+
+def _unit_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low, high, raw, offsets in bytework.blocks(batch.column("text")):
+            starts, ends, rows = bytework.word_bounds(raw, offsets)
+            hashes, rows = bytework.shingles(bytework.word_hashes(raw, starts, ends), rows, WIDTH)
+            units = bytework.mix(hashes + bytework.mix(bytework.occurrence(hashes, rows).astype(np.uint64)))
+            edges = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=high - low))])
+            lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(units.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(low, high - low), lists], names=["node", "units"])
+
+
+def _regions(held: DataFrame) -> DataFrame:
+    """``node, units, shared``: a hash for each shingle and occurrence that another node has too, and their number.
+
+    Weights are counts of units. Units that no other node has are in no
+    intersection, so a node with too few others can be alike to none and is
+    left out.
+    """
+    units = cut(held.select("node", "text").mapInArrow(_unit_hashes, "node long, units array<long>"))
+    each = units.select("node", F.explode("units").alias("unit"))
+    common = each.groupBy("unit").agg(F.count("*").alias("times")).where("times > 1").select("unit")
+    kept = each.join(common, "unit").groupBy("node").agg(F.collect_list("unit").alias("units"), F.count("*").alias("shared"))
+    sizes = units.select("node", F.size("units").alias("all"))
+    return kept.join(sizes, "node").where(F.col("shared") >= F.col("all") * F.lit(SIMILARITY - 1e-9)).drop("all")
+
+
+def _alike(a: str, b: str) -> Column:
+    def reaches(both: Column) -> Column:
+        return both >= (F.col(f"{a}.n") + F.col(f"{b}.n") - both) * F.lit(SIMILARITY - 1e-9)
+
+    most = F.least(f"{a}.shared", f"{b}.shared")
+    return reaches(most) & reaches(F.size(F.array_intersect(F.col(f"{a}.units"), F.col(f"{b}.units"))))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -183,9 +216,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Copies are merged before any join. In each bucket every text is compared
     with the bucket's first one; then, in buckets that still hold more than one
-    group, texts of different groups are compared. So a group of copies costs a
-    number of pairs in proportion to its size, and no link between groups is
-    left out. Each candidate is verified on whole texts.
+    group, texts of different groups are compared inside the join. So a group of
+    copies costs rows in proportion to its size, and no link between groups is
+    left out. Each candidate is verified on its whole text, or on the hashes of
+    all its shingles.
 
     Null texts and texts without a word are alone in their class. Rows that
     share a ``doc_id`` are one document. A null ``doc_id`` gets a negative
@@ -202,27 +236,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = cut(inked.groupBy("copy").agg(F.min(F.struct(*fields, "bands")).alias("r")).select("copy", "r.*"))
 
     spread = reps.select(*fields, F.explode("bands").alias("key"))
-    centre = spread.groupBy("key").agg(F.min(F.struct(*fields)).alias("c"), F.count("*").alias("m")).where("m > 1")
-    centre = cut(centre.select("key", "c.*"))
-    full = cut(spread.join(centre.select("key"), "key", "left_semi"))  # buckets of two texts or more
-    stars = cut(
-        full.alias("a").join(centre.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.node") > F.col("b.node")) & _near("a", "b"))
-        .select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-    )
-    links = _linked(stars, reps, texts)
-    groups = components(links)
-
-    labelled = full.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    open_ = cut(labelled.join(mixed, "key", "left_semi"))
-    rest = cut(
-        open_.alias("a").join(open_.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & _near("a", "b"))
-        .select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
-        .join(stars, ["u", "v"], "left_anti")
+    links = bucket_links(
+        spread, _near, lambda pairs: _linked(pairs, reps, texts), lambda nodes: _regions(_texts(nodes, reps, texts)), _alike
     )
     same_id = inked.join(reps.select("copy", F.col("node").alias("v")), "copy").where("node <> v").select(F.col("node").alias("u"), "v")
-    links = links.unionByName(_linked(rest, reps, texts)).unionByName(same_id)
-    groups = components(links.distinct())
+    groups = components(links.unionByName(same_id))
     return (
         signed.join(groups, "node", "left")
         .select("doc_id", "node", "copy", "n", F.coalesce("root", "node").alias("class_id"))
@@ -235,12 +253,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows repeated with the same id and text count as one document and are
     reduced to one row; rows without text stay.
     """
-    marked = near_duplicates(docs)
-    gone = marked.where("node <> class_id").select("doc_id", "copy").distinct()
+    marked = cut(near_duplicates(docs).select("doc_id", "copy", "n", (F.col("node") != F.col("class_id")).alias("gone")))
     kept = docs.withColumn("__copy", F.md5(F.coalesce("text", F.lit(""))))
-    kept = kept.join(
-        gone.select(F.col("doc_id").alias("__id"), F.col("copy").alias("__gone")),
-        F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__copy") == F.col("__gone")),
-        "left_anti",
-    )
-    return kept.drop("__copy")
+
+    def these(rows: DataFrame, how: str, wanted: DataFrame) -> DataFrame:
+        wanted = wanted.select(F.col("doc_id").alias("__id"), F.col("copy").alias("__c"))
+        met = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__copy") == F.col("__c"))
+        return rows.join(share_if_small(wanted, 100), met, how)
+
+    kept = these(kept, "left_anti", cut(marked.where("gone").select("doc_id", "copy").distinct()))
+    twice = cut(marked.where("n > 0 and not gone").groupBy("doc_id", "copy").count().where("count > 1"))
+    if twice.isEmpty():
+        return kept.drop("__copy")
+    once = these(kept, "left_semi", twice).dropDuplicates(["doc_id", "__copy"])
+    return these(kept, "left_anti", twice).unionByName(once).drop("__copy")
