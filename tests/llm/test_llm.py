@@ -84,20 +84,13 @@ def test_twin_on_odd_table(spark, tmp_path, name):
 # ------------------------------------------------------------------ 1: lines
 
 
-def simhash(line):
-    found = [0] * 64
-    tokens = line.split(" ")
-    hashes = [h & (2**64 - 1) for h in tokens]
-    return hashes, found
-
-
 def brute_lines(spark, docs):
     """Which (doc, position) stay, from all pairs of lines."""
     table = lines.line_table(docs).collect()
     norm = {
         (r["doc_id"], r["pos"]): r["norm"]
         for r in docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        .select("doc_id", "pos", lines.normalised(F.col("line")).alias("norm")).collect()
+        .select("doc_id", "pos", F.array_join(lines.line_words(F.col("line")), " ").alias("norm")).collect()
     }
     places = [(r["doc_id"], r["pos"]) for r in table]
     fp = {(r["doc_id"], r["pos"]): r["fp"] & (2**64 - 1) for r in table}
