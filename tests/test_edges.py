@@ -422,11 +422,11 @@ def test_offsets(spark):
 
 
 def test_segments(spark):
-    assert X._split("  short ", 10, "\n", None) == ["short"]
-    assert X._split("aaaa bbbb cccc", 6, " ", None) == ["aaaa", "bbbb", "cccc"]
-    assert X._split("aa bb\ncc dd", 6, "\n ", None) == ["aa bb", "cc dd"]
-    assert X._split("x" * 30, 10, "\n ", None) == ["x" * 30]
-    assert X._split("", 5, "\n", None) == [""]
+    assert X._pieces("  short ", 10, "\n", None) == ["short"]
+    assert X._pieces("aaaa bbbb cccc", 6, " ", None) == ["aaaa", "bbbb", "cccc"]
+    assert X._pieces("aa bb\ncc dd", 6, "\n ", None) == ["aa bb", "cc dd"]
+    assert X._pieces("x" * 30, 10, "\n ", None) == ["x" * 30]
+    assert X._pieces("", 5, "\n", None) == [""]
 
 
 def test_text_helpers(spark):
