@@ -141,6 +141,59 @@ def test_line_dedup_equals_all_pairs(spark):
     assert any(got[i] != t for i, t in enumerate(texts))
 
 
+def near_groups(rows):
+    """The first of each group of lines whose words are equal or a fifth of the longer line's apart, from all pairs."""
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows[:i]):
+            near = min(len(a), len(b)) >= 5 and edits(a, b) <= max(len(a), len(b)) // 5
+            if a == b or near:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i for i in root if find(i) == i}
+
+
+def test_near_lines_of_any_length_are_found(spark):
+    """Lines of 5 to 60 words with up to the allowed fifth changed, dropped or added, by edit similarity alone."""
+    rng = random.Random(8)
+    rows = []
+    for n in [*range(5, 31), 40, 44, 60]:
+        base = words(rng, n)
+        rows.append(base)
+        for k in (1, n // 5, n // 5 + 1):
+            own = list(base)
+            for at in rng.sample(range(n), k):
+                own[at] = "new" + "".join(rng.choice("klmnop") for _ in range(5))
+            rows.append(own)
+        own = list(base)
+        for _ in range(n // 5):
+            del own[rng.randrange(len(own))]
+        rows.append(own)
+        own = list(base)
+        for _ in range((n + 1) // 5 if n % 5 == 4 else n // 5):
+            own.insert(rng.randrange(len(own)), "added" + "".join(rng.choice("klmnop") for _ in range(5)))
+        rows.append(own)
+    rng.shuffle(rows)
+    got = {r["doc_id"] for r in lines.dedup_lines(docs_of(spark, [" ".join(x) for x in rows])).where("n_removed = 0").collect()}
+    assert got == near_groups(rows)
+    assert len(got) < len(rows) / 2
+
+
 def test_block_keys_meet_within_radius(spark):
     rng = random.Random(1)
     pairs = []
