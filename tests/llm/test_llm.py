@@ -194,6 +194,17 @@ def test_near_lines_of_any_length_are_found(spark):
     assert len(got) < len(rows) / 2
 
 
+def test_digits_marks_and_signs_tell_lines_apart(spark):
+    texts = [
+        "Revenue 2019 1,234\nx = 1\nChapter 7\n-----\nकि", "Revenue 2020 5,678\nx = 2\nChapter 8\n*****\nकु", "  revenue 2019: 1 234\n-----\n\n",
+        "12 34\nnew", "12 34\nold", "-----\n12 34", " \n\n\n ",
+    ]
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in lines.dedup_lines(docs_of(spark, texts)).collect()}
+    assert got == {
+        0: (texts[0], 5, 0), 1: (texts[1], 5, 0), 2: ("\n", 2, 2), 3: (texts[3], 2, 0), 4: ("old", 2, 1), 5: ("", 2, 2), 6: (texts[6], 0, 0),
+    }
+
+
 def test_block_keys_meet_within_radius(spark):
     rng = random.Random(1)
     pairs = []
