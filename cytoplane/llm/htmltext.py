@@ -6,14 +6,15 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines in a sliding window; and the share of the highest window at which text surges.
+#: Lines in a sliding window; and the characters in one beyond which text surges.
 WINDOW = 3
-SURGE = 0.1
+SURGE = 86
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -149,24 +150,27 @@ def extract(page: str | None) -> str:
 
     A line weighs its text outside links; a line in an element that is not the
     article (menu, header, footer, sidebar, notice, advert, form, comments)
-    weighs nothing, and neither does one outside ``article`` or ``main`` if the
-    page has text in one. Text surges where the sum over ``WINDOW`` lines
-    passes a tenth of the highest sum and the line weighs something (any text, inside ``article`` or
-    ``main``), and dives where the sum is 0. Lines in between are kept, except
-    those in such elements.
+    weighs nothing. A line in ``article`` or ``main`` weighs ``SURGE`` more, so
+    any text there surges, and text elsewhere is judged by its own weight.
+    Text surges where the sum over ``WINDOW`` lines passes ``SURGE`` and the
+    line weighs something (any such line, if no sum on the page passes it), and
+    dives where the sum is 0. Lines in between are kept, except those in such
+    elements. Windows do not reach across the edge of ``article`` or ``main``.
     """
-    found = lines(page or "")
-    marked = any(x.main and not x.outside for x in found)
-    inside = [not x.outside and (x.main or not marked) for x in found]
-    # a line of links only still weighs its article one unit: the article drops nothing of its own
-    weights = [max(len(x.text) - x.linked, 1 if marked else 0) if ok else 0 for x, ok in zip(found, inside)]
-    sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-    least = 0 if marked else SURGE * max(sums, default=0)
-    kept, running = [], False
-    for x, ok, s, w in zip(found, inside, sums, weights):
-        running = s > 0 and (running or (s > least and w > 0))
-        if running and ok:
-            kept.append(x.text)
+    parts = []
+    for main, part in groupby(lines(page or ""), key=lambda x: x.main):
+        own = list(part)
+        more = SURGE + 1 if main else 0
+        weights = [0 if x.outside else max(len(x.text) - x.linked, 0) + more for x in own]
+        parts.append((own, weights, [sum(weights[i : i + WINDOW]) for i in range(len(weights))]))
+    least = SURGE if any(s > SURGE for _, _, sums in parts for s in sums) else 0
+    kept = []
+    for own, weights, sums in parts:
+        running = False
+        for x, s, w in zip(own, sums, weights):
+            running = s > 0 and (running or (s > least and w > 0))
+            if running and not x.outside:
+                kept.append(x.text)
     return "\n".join(kept)
 
 

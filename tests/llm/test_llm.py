@@ -551,6 +551,15 @@ def test_pages_without_marked_article():
     assert htmltext.extract("<article><p>cut off <a href='x") == "cut off"
 
 
+def test_distribution_decides_beside_marked_article():
+    body = [f"Paragraph {i} of the body, in a plain element, with enough words in it to be running text on any page." for i in range(4)]
+    teaser = "<article><a href=x>Read this too</a></article>"
+    page = f"<body><div>Menu</div><div><a href=y>z</a></div><p><a href=z>all</a></p>{teaser}<div>" + "".join(f"<p>{x}</p>" for x in body) + "</div></body>"
+    assert htmltext.extract(page) == "\n".join(["Read this too", *body])
+    huge = "word " * 4000
+    assert htmltext.extract("".join(f"<p>{x}</p>" for x in [*body, huge])) == "\n".join([*body, huge.strip()])
+
+
 # -------------------------------------------------------------- 10: toxicity
 
 
