@@ -40,6 +40,13 @@ OUTSIDE_NAMES = frozenset(
     "overlay comment comments disqus respond replies share sharing social related recommended footer masthead toolbar widget "
     "login search skip pagination pager copyright disclaimer".split()
 )
+#: What may stand beside such a name in a class or id, as in ``site-header`` or ``sidebar-left``.
+AFFIXES = frozenset(
+    "active area bar block bottom box btn button buttons container fixed footer form global header icon icons inner item items left "
+    "link links list main mobile outer page post posts primary right secondary section site sticky sub top wrap wrapper".split()
+)
+#: Elements that hold the article, whatever their class or id.
+HOLDERS = frozenset(("html", "body", "main", "article"))
 
 
 @dataclass
@@ -51,6 +58,13 @@ class Line:
     text: str = ""
 
 
+def _names_outside(token: str, in_main: bool) -> bool:
+    """Does a whole class or id say that this is not the article? Each of its parts must be such a name or an affix."""
+    parts = [x for x in re.split(r"[^a-z]+", token) if x]
+    named = any(x in OUTSIDE_NAMES or (x == "header" and not in_main) for x in parts)
+    return named and all(x in OUTSIDE_NAMES or x in AFFIXES for x in parts)
+
+
 def _outside(name: str, attrs: str, in_main: bool) -> bool:
     if name in OUTSIDE or (name == "header" and not in_main):
         return True
@@ -65,10 +79,8 @@ def _outside(name: str, attrs: str, in_main: bool) -> bool:
             if key == "role":
                 if value.strip() in OUTSIDE_ROLES:
                     return True
-            else:
-                names = set(re.split(r"[^a-z0-9]+", value))
-                if names & OUTSIDE_NAMES or (not in_main and "header" in names):
-                    return True
+            elif name not in HOLDERS and any(_names_outside(x, in_main) for x in value.split()):
+                return True
     return False
 
 

@@ -560,6 +560,16 @@ def test_distribution_decides_beside_marked_article():
     assert htmltext.extract("".join(f"<p>{x}</p>" for x in [*body, huge])) == "\n".join([*body, huge.strip()])
 
 
+@pytest.mark.parametrize(
+    "around",
+    ["<body class='no-sidebar'>", "<div id='content-with-sidebar'>", "<article class='post comments-open'>", "<article class='social-science'>",
+     "<main id=search>", "<html class='has-banner sidebar'>", "<div class='col social-science'>"],
+)
+def test_theme_classes_are_not_outside(around):
+    text = "Running text of the article that is long enough to be kept by its own weight, wherever on the page it stands."
+    assert htmltext.extract(f"{around}<p>{text}</p><div class='sidebar-left ad'>{text}</div><div id=comment-list>{text}</div><p>End.</p>") == text + "\nEnd."
+
+
 # -------------------------------------------------------------- 10: toxicity
 
 
