@@ -3,7 +3,9 @@
 Numbers, names and units become typed placeholders, so that a question asked
 again with other values gives the same template. Windows of template tokens
 are looked up in the benchmark's; the values behind the placeholders must then
-correspond one to one throughout a document and an item.
+correspond one to one throughout a document and an item. Windows are looked up
+by their exact words too, so that copies are found whatever their capitals,
+their place in a sentence and their share of numbers and names.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -86,7 +88,11 @@ _UNIT_HASHES = np.sort(np.array([_hash_of(u) for u in sorted(UNITS)], np.uint64)
 
 @dataclass
 class Tokens:
-    """Template tokens of several texts, in order: text, kind, hash, and place in the bytes."""
+    """Template tokens of several texts, in order: text, kind, hash, and place in the bytes.
+
+    ``words`` has the hash of the word itself; ``opened`` marks the capitals
+    that would make a name if they did not start a sentence.
+    """
 
     rows: np.ndarray
     kind: np.ndarray
@@ -94,6 +100,8 @@ class Tokens:
     starts: np.ndarray
     ends: np.ndarray
     raw: np.ndarray
+    words: np.ndarray
+    opened: np.ndarray
 
     def value(self, k: int) -> str:
         return core_of(self.raw[self.starts[k] : self.ends[k]].tobytes().decode("utf-8", "replace"))
@@ -103,7 +111,7 @@ def canonical(raw: np.ndarray, offsets: np.ndarray, odd: _Odd) -> Tokens:
     """Template tokens of the texts in ``raw``. A capital makes a name unless it starts a sentence."""
     starts, ends, rows = bytework.word_bounds(raw, offsets)
     if not len(starts):
-        return Tokens(rows, np.zeros(0, np.int8), np.zeros(0, np.uint64), starts, ends, raw)
+        return Tokens(rows, np.zeros(0, np.int8), np.zeros(0, np.uint64), starts, ends, raw, np.zeros(0, np.uint64), np.zeros(0, bool))
     second = np.zeros(len(raw), bool)  # of a Latin-1 capital
     second[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
     ascii_capital = (raw >= 0x41) & (raw <= 0x5A)
@@ -130,8 +138,14 @@ def canonical(raw: np.ndarray, offsets: np.ndarray, odd: _Odd) -> Tokens:
     opens = np.ones(len(rows), bool)
     opens[1:] = stops[:-1] | (rows[1:] != rows[:-1])
     kind[capital & ~opens] = NAME
-    hashes = np.where(kind == LITERAL, hashes, _SLOT_HASH[kind])
-    return Tokens(rows, kind, hashes, starts, ends, raw)
+    return Tokens(rows, kind, np.where(kind == LITERAL, hashes, _SLOT_HASH[kind]), starts, ends, raw, hashes, capital & opens)
+
+
+def _as_names(t: Tokens) -> Tokens:
+    """The same with the first token of each text as it would be amid a sentence."""
+    first = t.opened.copy()
+    first[1:] &= t.rows[1:] != t.rows[:-1]
+    return replace(t, kind=np.where(first, NAME, t.kind).astype(np.int8), hashes=np.where(first, _SLOT_HASH[NAME], t.hashes))
 
 
 def windows(t: Tokens, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,42 +155,70 @@ def windows(t: Tokens, width: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     literal = np.concatenate([[0], np.cumsum(t.kind == LITERAL)])
     good = (t.rows[:n] == t.rows[width - 1 :]) & (2 * (literal[width:] - literal[:n]) >= width)
+    return _run_hashes(t.hashes, width, np.flatnonzero(good))
+
+
+def runs(t: Tokens, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all windows of ``width`` tokens, and where each starts."""
+    n = len(t.rows) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return _run_hashes(t.words, width, np.flatnonzero(t.rows[:n] == t.rows[width - 1 :]))
+
+
+def _run_hashes(hashes: np.ndarray, width: int, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(hashes) - width + 1
     total = np.zeros(n, np.uint64)
     for k in range(width):
-        total += t.hashes[k : n + k] * bytework._STEP[k]
-    start = np.flatnonzero(good)
+        total += hashes[k : n + k] * bytework._STEP[k]
     return bytework.mix(total[start] + np.uint64(width)), start
 
 
 @dataclass
 class Index:
-    """Windows of one block of benchmark items, by width: sorted hashes with item and slots of each."""
+    """Windows of one block of benchmark items, by width and whether by exact words: sorted hashes, and where each is.
 
-    tables: dict[int, tuple[np.ndarray, list[list[tuple[int, tuple]]]]]
-    sizes: dict[int, int]
+    A place is an item, its window, the window's slots, and whether half of it
+    is literal. ``sizes``: of each item the windows that are, and all windows.
+    """
+
+    tables: dict[tuple[int, bool], tuple[np.ndarray, list[list[tuple[int, int, tuple, bool]]]]]
+    sizes: dict[int, tuple[int, int]]
 
 
 def index(items: list[tuple[int, str]]) -> Index:
-    """An item of fewer than ``WINDOW`` tokens has one window, of them all."""
+    """An item of fewer than ``WINDOW`` tokens has one window, of them all.
+
+    The first token of an item is indexed as a sentence's first word and, if it
+    has a capital, as a name, since a document may have it either way.
+    """
     raw, offsets = _bytes([text for _, text in items])
     t = canonical(raw, offsets, _Odd())
+    named = _as_names(t)
     count = np.bincount(t.rows, minlength=len(items))
-    sizes: dict[int, int] = Counter()
+    literal: dict[int, int] = Counter()
+    every: dict[int, int] = Counter()
     tables = {}
     for width in sorted({min(int(c), WINDOW) for c in count if c}):
         own = np.flatnonzero(np.minimum(count, WINDOW) == width)
         hashes, start = windows(t, width)
-        mine = np.isin(t.rows[start], own)
-        hashes, start = hashes[mine], start[mine]
-        places = defaultdict(list)
-        for h, s in zip(hashes.tolist(), start.tolist()):
-            item = items[t.rows[s]][0]
-            places[h].append((item, s, _slots(t, s, width)))
-            sizes[item] += 1
-        if places:
-            order = sorted(places)
-            tables[width] = (np.array(order, np.uint64), [places[h] for h in order])
-    return Index(tables, dict(sizes))
+        good = set(start.tolist())
+        more, at = windows(named, width)
+        other = named.kind[at] != t.kind[at]
+        for exact, forms in ((False, [(t, hashes, start), (named, more[other], at[other])]), (True, [(t, *runs(t, width))])):
+            places = defaultdict(list)
+            for form, hs, starts in forms:
+                mine = np.isin(form.rows[starts], own)
+                for h, s in zip(hs[mine].tolist(), starts[mine].tolist()):
+                    item = items[t.rows[s]][0]
+                    places[h].append((item, s, _slots(form, s, width), s in good))
+                    if exact:
+                        every[item] += 1
+                        literal[item] += s in good
+            if places:
+                order = sorted(places)
+                tables[width, exact] = (np.array(order, np.uint64), [places[h] for h in order])
+    return Index(tables, {item: (literal[item], n) for item, n in every.items()})
 
 
 def _bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -188,24 +230,26 @@ def _slots(t: Tokens, start: int, width: int) -> tuple:
     return tuple((int(t.kind[k]), t.value(k)) for k in range(start, start + width) if t.kind[k] != LITERAL)
 
 
-def _judge(hits: list[tuple[int, tuple, tuple]], total: int) -> tuple[int, int, bool]:
-    """Of the matches (item window, item's slots, document's slots): windows held, slots changed, contaminated.
+def _judge(hits: list[tuple[int, bool, tuple, tuple]], literal: int, every: int) -> tuple[int, int, bool]:
+    """Of the matches (item window, half literal, item's slots, document's slots): windows held, slots changed, contaminated.
 
     Each value of the item must stand for one value in the document and the
     other way round: the most frequent counterpart counts, and windows that
     disagree with it are not held.
     """
     votes: dict[tuple, Counter] = defaultdict(Counter)
-    for _, theirs, ours in hits:
+    for _, _, theirs, ours in hits:
         for a, b in zip(theirs, ours):
             votes[a][b] += 1
     there = {a: min(c, key=lambda b: (-c[b], b != a, b)) for a, c in votes.items()}
     back: dict[tuple, tuple] = {}
     for a in sorted(there, key=lambda a: (a != there[a], -votes[a][there[a]], a)):
         back.setdefault(there[a], a)
-    held = {w for w, theirs, ours in hits if all(there[a] == b and back[b] == a for a, b in zip(theirs, ours))}
+    held = {(w, good) for w, good, theirs, ours in hits if all(there[a] == b and back[b] == a for a, b in zip(theirs, ours))}
     changed = sum(a != b for a, b in there.items() if back[b] == a)
-    return len(held), changed, len(held) >= max(1, COVERAGE * total - 1e-9)
+    templates = sum(good for _, good in held)
+    enough = templates >= max(1, COVERAGE * literal - 1e-9) or len(held) >= max(1, COVERAGE * every - 1e-9)
+    return len(held), changed, enough
 
 
 def _finder(found: Index):
@@ -215,19 +259,24 @@ def _finder(found: Index):
             for low, _, raw, offsets in bytework.blocks(batch.column("text")):
                 t = canonical(raw, offsets, odd)
                 hits: dict[tuple[int, int], list] = defaultdict(list)
-                for width, (known, places) in found.tables.items():
-                    hashes, start = windows(t, width)
+                seen = set()
+                for (width, exact), (known, places) in found.tables.items():  # templates first
+                    hashes, start = runs(t, width) if exact else windows(t, width)
                     at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
                     for i in np.flatnonzero(known[at] == hashes).tolist():
                         s = int(start[i])
-                        ours = _slots(t, s, width)
-                        for item, w, theirs in places[at[i]]:
-                            hits[int(t.rows[s]), item].append((w, theirs, ours))
+                        ours = () if exact else _slots(t, s, width)
+                        for item, w, theirs, good in places[at[i]]:
+                            if not exact:
+                                seen.add((s, item, w))
+                            elif (s, item, w) in seen:
+                                continue
+                            hits[int(t.rows[s]), item].append((w, good, theirs, theirs if exact else ours))
                 rows = []
                 for (row, item), matches in hits.items():
-                    held, changed, bad = _judge(matches, found.sizes[item])
+                    held, changed, bad = _judge(matches, *found.sizes[item])
                     if bad:
-                        rows.append((low + row, item, held, found.sizes[item], changed))
+                        rows.append((low + row, item, held, found.sizes[item][1], changed))
                 if rows:
                     place, item, held, total, changed = zip(*rows)
                     yield pa.RecordBatch.from_arrays(
@@ -247,10 +296,11 @@ _SHAPE = "doc_id long, copy string, item_id long, n_windows long, item_windows l
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and each benchmark item that it contains.
 
-    ``n_windows`` of the item's ``item_windows`` template windows are held with
-    consistent slots, ``n_changed`` slot values differ from the item's own. A
-    document contains an item if it holds 30 % of its windows or more, one at
-    least; windows with fewer than half literal tokens do not count.
+    ``n_windows`` of the item's ``item_windows`` windows are held, as they are or
+    as templates with consistent slots; ``n_changed`` slot values differ from the
+    item's own. A document contains an item if it holds 30 % or more, one at
+    least, of its windows or of those with half literal tokens. The others have
+    no template and are held only word for word (case and signs aside).
 
     The benchmark is sent to the tasks in blocks of ``BLOCK_CHARS`` characters
     of whole items, each block in a pass over the documents, so neither side

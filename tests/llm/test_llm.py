@@ -487,6 +487,14 @@ def test_blocks_of_the_benchmark_agree(spark, folder, monkeypatch):
     assert sorted(map(str, decontam.contaminated(docs, bench).collect())) == one and one
 
 
+def test_copies_without_literals_or_sentence_start_are_found(spark):
+    items = ["WHO WROTE THE OLD GREEK POEM CALLED ILIAD AND WHEN DID HE", "Compute 3 + 4 * 5 - 6", "Who wrote the Iliad?", "The Quick Brown Fox Jumps"]
+    texts = [f"A heading without a stop\n{x}\nand some more words" for x in items] + ["A heading\nWho wrote the Odyssey?", "Compute 3 + 4 * 5 - 7", "who knows"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["n_changed"] for r in decontam.contaminated(docs_of(spark, texts), bench).collect()}
+    assert got == {(0, 0): 0, (1, 1): 0, (2, 2): 0, (3, 3): 0, (4, 2): 1}
+
+
 def test_contamination_equals_direct_search(spark, folder):
     """Copied passages of eight words or more, found with a plain set of word runs."""
 
