@@ -46,7 +46,7 @@ class Rule:
         return reduce(lambda a, b: a & b, tests)
 
 
-#: Ratios outside these bounds mark text that is not prose in any language.
+#: Ratios outside these bounds mark text that is not prose; the rules of LISTED_RULES say so only in languages that have a list.
 RULES = (
     Rule("mean_word_length", "word_chars", "n_words", low=2_000, high=20_000),
     Rule("symbol_ratio", "n_symbols", "n_words", high=500),
@@ -59,6 +59,22 @@ RULES = (
 )
 
 
+#: Stop words among all words. The SQL twin does not count them: its rule on distinct ones holds besides.
+STOP_RATIO = Rule("stop_ratio", "n_stop_words", "n_words", low=20)
+LISTED_RULES = frozenset(("stop_words", "stop_ratio"))
+#: Languages whose words STOP_WORDS lists; a text of one of these, or of none that is known.
+LISTED = ("en", "de", "fr", "es")
+NOT_KNOWN = ("", "und")
+
+
+def _has_list(docs: DataFrame) -> Column:
+    """Does the language a document is said to have allow the rules on stop words? True if nothing is said."""
+    if "lang" not in docs.columns:
+        return F.lit(True)
+    lang = F.lower(F.split(F.col("lang").cast("string"), "[-_]")[0])
+    return F.coalesce(lang.isin(*LISTED, *NOT_KNOWN), F.lit(True))
+
+
 def _covered(keys: Column) -> Column:
     """Words lying in a window whose key occurs again; ``keys[i]`` is of the window at word i."""
 
@@ -100,6 +116,8 @@ def measures(text: Column) -> dict[str, Column]:
         return F.struct(
             F.size(w).alias("n_words"),
             F.size(F.array_intersect(F.transform(w, lambda x: F.lower(x)), F.array(*map(F.lit, STOP_WORDS)))).alias("n_stop"),
+            F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).alias("n_stop_words"),
+            F.size(F.filter(w, lambda x: x.rlike(r"^\P{L}*\p{IsLatin}"))).alias("n_latin_words"),
             _repeat_words(w).alias("n_repeat_words"),
             F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))).alias("n_letter_words"),
             F.size(F.filter(w, lambda x: x.rlike(r"^\P{L}*\p{Lu}{2}") & (x == F.upper(x)))).alias("n_capital_words"),
@@ -122,26 +140,31 @@ def measures(text: Column) -> dict[str, Column]:
     }
 
 
-def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def assess(docs: DataFrame, rules: tuple[Rule, ...] = (*RULES, STOP_RATIO)) -> DataFrame:
     """``doc_id``, the counts, ``base_failed``, one ``ok_<rule>`` per rule, and ``kept``.
 
     One projection, no shuffle. Base: fewer than 20 words, or more than 30 % of
     the words in eight-word windows found twice or more in the text. ``kept``
-    is false for base failures, else true if every rule passes.
+    is false for base failures, else true if every rule passes. The rules on
+    stop words pass if most words are not in Latin script, or if a column
+    ``lang`` names a language that ``STOP_WORDS`` does not list.
 
     Windows are compared by 64-bit hashes within their text. A null or empty
     text has no words and fails the base. Repeated rows give repeated results;
     other columns are not passed on, so names cannot clash; an empty table
     gives an empty result.
     """
-    found = docs.select("doc_id", *[c.alias(f"__{k}") for k, c in measures(F.col("text")).items()])
+    found = docs.select("doc_id", _has_list(docs).alias("__has_list"), *[c.alias(f"__{k}") for k, c in measures(F.col("text")).items()])
     flat = found.select(
-        "doc_id", F.col("__w.*"), F.col("__l.*"), F.col("__word_chars").alias("word_chars"), F.col("__n_symbols").alias("n_symbols")
+        "doc_id", "__has_list", F.col("__w.*"), F.col("__l.*"), F.col("__word_chars").alias("word_chars"), F.col("__n_symbols").alias("n_symbols")
     )
-    flat = flat.select("doc_id", *[F.col(c).cast("long").alias(c) for c in flat.columns if c != "doc_id"])
-    row = {c: F.col(c) for c in flat.columns}
+    counts = [c for c in flat.columns if c not in ("doc_id", "__has_list")]
+    flat = flat.select("doc_id", "__has_list", *[F.col(c).cast("long").alias(c) for c in counts])
+    row = {c: F.col(c) for c in counts}
+    listed = F.col("__has_list") & (2 * row["n_latin_words"] >= row["n_letter_words"])
+    passes = {r.name: r.passes(row) | ~listed if r.name in LISTED_RULES else r.passes(row) for r in rules}
     failed = (row["n_words"] < 20) | (100 * row["n_repeat_words"] > 30 * row["n_words"])
-    good = reduce(lambda a, b: a & b, [r.passes(row) for r in rules])
+    good = reduce(lambda a, b: a & b, passes.values())
     return flat.select(
-        "*", failed.alias("base_failed"), *[r.passes(row).alias(f"ok_{r.name}") for r in rules], (~failed & good).alias("kept")
+        "doc_id", *counts, failed.alias("base_failed"), *[ok.alias(f"ok_{k}") for k, ok in passes.items()], (~failed & good).alias("kept")
     )

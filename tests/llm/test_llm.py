@@ -525,6 +525,17 @@ def test_repeat_words_by_hand(spark):
     assert got[4]["n_dup_lines"] == 2
 
 
+def test_stop_words_count_only_where_listed(spark):
+    rng = random.Random(9)
+    russian = " ".join("".join(rng.choice("абвгдежзик") for _ in range(5)) for _ in range(60))
+    latin = " ".join(words(rng, 60))
+    rows = [(0, russian, "ru"), (1, russian, None), (2, latin, "pl"), (3, latin, "en"), (4, latin, None), (5, latin + " The OF", "en-GB"),
+            (6, " ".join(words(rng, 400)) + " the of", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["kept"] for r in quality.assess(docs).collect()}
+    assert got == {0: True, 1: True, 2: True, 3: False, 4: False, 5: True, 6: False}
+
+
 def test_quality_plan_is_one_projection(spark, folder):
     plan = quality.assess(spark.read.parquet(f"{folder}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
