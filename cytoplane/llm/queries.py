@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cytoplane.llm import decontam, htmltext, langid, lines, minhash, mixing, quality, secrets, toxicity, warc
+from cytoplane.llm import decontam, divergence, htmltext, langid, lines, minhash, mixing, quality, secrets, toxicity, warc
 from cytoplane.llm.common import table
 from cytoplane.llm.sql import ORACLES  # noqa: F401
 from cytoplane.session import workspace
@@ -76,3 +76,9 @@ def op9_html_text(spark, d):
 def op10_toxicity(spark, d):
     """Expected severity of every document."""
     return toxicity.predict(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query
+def op13_divergence(spark, d):
+    """How the sources of each language differ in their words."""
+    return divergence.audit(table(spark, d, "documents"))

@@ -124,4 +124,46 @@ WITH a AS (
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
 """
 
-ORACLES = {"op3_mixing": MIXING, "op4_warc": WARC, "op8_quality": QUALITY, "op9_html_text": HTML_TEXT}
+DIVERGENCE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT rid, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM d
+), c AS (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT rid) AS docs FROM w GROUP BY ALL
+), kept AS (
+  SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 10
+), langs AS (
+  SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY ALL
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), each AS (
+  SELECT g.lang, g.source, kept.term, kept.n AS lang_n, CAST(coalesce(c.n, 0) AS HUGEINT) AS n
+  FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)
+), totals AS (
+  SELECT lang, source, sum(n) AS total FROM each GROUP BY ALL
+), priced AS (
+  SELECT each.lang, each.source, term, n,
+         CAST(1 + (1000000000 * (n + 2)) // (totals.total + 2 * v) AS BIGINT) AS p,
+         CAST(1 + (1000000000 * (lang_n + 2)) // (langs.total + 2 * v) AS BIGINT) AS q
+  FROM each JOIN totals USING (lang, source) JOIN langs USING (lang)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value
+  FROM priced a JOIN priced b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), every AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(pairs.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+), terms AS (
+  SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM priced WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM every UNION ALL SELECT lang, source, 'term', item, value FROM terms
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM ranked QUALIFY part = 'pair' OR rank <= 10
+"""
+
+ORACLES = {"op13_divergence": DIVERGENCE, "op3_mixing": MIXING, "op4_warc": WARC, "op8_quality": QUALITY, "op9_html_text": HTML_TEXT}
