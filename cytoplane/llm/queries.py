@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cytoplane.llm import decontam, divergence, htmltext, langid, lines, minhash, mixing, quality, secrets, toxicity, warc
+from cytoplane.llm import decontam, divergence, htmltext, langid, lines, minhash, mixing, quality, secrets, toxicity, vectors, warc
 from cytoplane.llm.common import table
 from cytoplane.llm.sql import ORACLES  # noqa: F401
 from cytoplane.session import workspace
@@ -82,3 +82,9 @@ def op10_toxicity(spark, d):
 def op13_divergence(spark, d):
     """How the sources of each language differ in their words."""
     return divergence.audit(table(spark, d, "documents"))
+
+
+@query
+def op11_near_vectors(spark, d):
+    """Every vector with its links to near ones and its component."""
+    return vectors.near_vectors(table(spark, d, "embeddings"))
