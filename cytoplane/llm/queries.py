@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cytoplane.llm import decontam, divergence, htmltext, langid, lines, minhash, mixing, quality, secrets, toxicity, vectors, warc
+from cytoplane.llm import alignment, decontam, divergence, htmltext, langid, lines, minhash, mixing, quality, secrets, toxicity, vectors, warc
 from cytoplane.llm.common import table
 from cytoplane.llm.sql import ORACLES  # noqa: F401
 from cytoplane.session import workspace
@@ -88,3 +88,9 @@ def op13_divergence(spark, d):
 def op11_near_vectors(spark, d):
     """Every vector with its links to near ones and its component."""
     return vectors.near_vectors(table(spark, d, "embeddings"))
+
+
+@query
+def op12_alignment(spark, d):
+    """How the tokens of two tokenizers cover each document."""
+    return alignment.align(table(spark, d, "documents"))
