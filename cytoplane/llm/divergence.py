@@ -159,8 +159,8 @@ def joint_tables(
             yield i + a, j + b, table[i, j].astype(np.int64)
 
 
-def _price_block(block: pa.Table) -> pa.Table:
-    """Summed prices of all pairs of sources over one block of terms."""
+def _price_block(block: pa.Table, width: int) -> pa.Table:
+    """Summed prices of all pairs of sources, ``width`` of which are a side, over one block of terms."""
     head = block.filter(pc.is_null(block["term"]))
     body = block.filter(pc.is_valid(block["term"]))
     sources = np.asarray(head["sid"].to_numpy())
@@ -180,7 +180,7 @@ def _price_block(block: pa.Table) -> pa.Table:
     lang, one, other = (block[c][0].as_py() for c in ("lang", "one", "other"))
     sides = []
     for side in {one, other}:
-        mine = sources // BLOCK_SOURCES == side
+        mine = sources // width == side
         codes, starts, prices = _indicators(counts[:, mine], [int(t) for t in totals[mine]], v)
         sides.append((side, sources[mine], codes, starts, prices))
     sides.sort(key=lambda x: x[0])
@@ -199,6 +199,11 @@ def _price_block(block: pa.Table) -> pa.Table:
 
 def _pair_values(full: DataFrame, kept: DataFrame, groups: DataFrame) -> DataFrame:
     """``lang, sid, oid, value`` for every two sources of a language that has kept terms."""
+    width = BLOCK_SOURCES
+
+    def price(block: pa.Table) -> pa.Table:
+        return _price_block(block, width)
+
     rank = F.floor(F.log2("lang_n")).cast("int")
     buckets = kept.groupBy("lang", rank.alias("bucket")).agg(F.ceil(F.count("*") / BLOCK_TERMS).alias("cuts"))
     buckets = share_if_small(cut(buckets), 200)
@@ -208,8 +213,8 @@ def _pair_values(full: DataFrame, kept: DataFrame, groups: DataFrame) -> DataFra
         return terms.withColumn("bucket", rank).join(buckets, ["lang", "bucket"]).withColumn("cell", cell)
 
     blocks = placed(kept).groupBy("lang", "bucket", "cell").agg(F.count("*").alias("terms"))
-    side = F.floor(F.col("sid") / BLOCK_SOURCES).cast("int")
-    sides = F.explode(F.sequence(F.lit(0), F.floor((F.col("s") - 1) / BLOCK_SOURCES).cast("int")))
+    side = F.floor(F.col("sid") / width).cast("int")
+    sides = F.explode(F.sequence(F.lit(0), F.floor((F.col("s") - 1) / width).cast("int")))
     meets = [F.least("side", "t").alias("one"), F.greatest("side", "t").alias("other")]
     key = ["lang", "bucket", "cell", "one", "other"]
     heads = groups.where("v > 0").select("lang", "sid", "total", "v", side.alias("side"), sides.alias("t"))
@@ -219,7 +224,7 @@ def _pair_values(full: DataFrame, kept: DataFrame, groups: DataFrame) -> DataFra
     body = placed(full).join(share_if_small(ids, 200), ["lang", "source"]).select("*", side.alias("side"), sides.alias("t"))
     body = body.select(*key[:3], *meets, "term", "sid", "n", nil.alias("total"), nil.alias("v"), nil.alias("terms"))
     # within one side, the pair (side, side) is met once; across sides each row is sent once to every other side
-    priced = heads.unionByName(body).groupBy(*key).applyInArrow(_price_block, "lang string, sid long, oid long, value long")
+    priced = heads.unionByName(body).groupBy(*key).applyInArrow(price, "lang string, sid long, oid long, value long")
     return priced.groupBy("lang", "sid", "oid").agg(F.sum("value").alias("value"))
 
 
