@@ -34,9 +34,9 @@ from cytoplane.session import cut
 
 FOLDER = "/opt/tokenizers"
 #: Texts are taken in blocks of so many characters (a longer text is a block of its own).
-BLOCK_CHARS = 2 << 20
+BLOCK_CHARS = 1 << 20
 #: Encoded pieces a worker remembers, and links it sums before it hands them on.
-REMEMBERED, PAIRS = 400_000, 1 << 20
+REMEMBERED, PAIRS = 150_000, 1 << 19
 #: Pieces encoded at a time.
 RUN = 512
 # white space as Unicode has it, and the public split of the byte-level vocabulary: fixed values
