@@ -356,13 +356,15 @@ def safe_decode(spark, d):
 
 # --------------------------------------------------------------------- overlaps
 
+# Runs of 24 characters that both sides have; a text shorter than that is a run by itself.
+block("doc_runs", "", "SELECT DISTINCT doc_id AS id, unnest(list_transform(range(1, length(text) - 22), lambda i: substring(text, i, 24))) AS g FROM documents WHERE length(text) >= 24")
+block("item_runs", "", "SELECT DISTINCT item_id AS id, unnest(list_transform(range(1, length(text) - 22), lambda i: substring(text, i, 24))) AS g FROM benchmark WHERE length(text) >= 24")
 block(
     "pair_candidates",
-    "",
-    """SELECT DISTINCT a.id AS left_id, b.id AS right_id FROM (SELECT doc_id AS id, unnest(g) AS g FROM (SELECT doc_id, list_transform(range(1, CAST(len(w) AS BIGINT) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) AS g
-      FROM (SELECT doc_id, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents))) a
-  JOIN (SELECT item_id AS id, unnest(g) AS g FROM (SELECT item_id, list_transform(range(1, CAST(len(w) AS BIGINT) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) AS g
-      FROM (SELECT item_id, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM benchmark))) b USING (g)""",
+    "doc_runs item_runs",
+    """SELECT DISTINCT a.id AS left_id, b.id AS right_id FROM doc_runs a JOIN item_runs b USING (g)
+  UNION SELECT doc_id, item_id FROM documents d JOIN benchmark b ON least(length(d.text), length(b.text)) BETWEEN 1 AND 23
+    AND (contains(d.text, b.text) OR contains(b.text, d.text))""",
 )
 
 
