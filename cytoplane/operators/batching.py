@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cytoplane.operators.ordering import (
     with_position,
     with_position_in_group,
+    with_running,
     with_running_sums,
 )
 
@@ -59,9 +60,54 @@ def zip_minibatches(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, ["minibatch_id", "place"])
 
 
+#: Hex digits of a digest counted at a time, and rows of the last bucket that are looked at one by one.
+_DIGITS, _LAST = 4, 1024
+
+
+def _nth_digest(digests: DataFrame, n: int) -> tuple[str, int]:
+    """The ``n``-th smallest digest, and how many of the rows that hold it belong to the first ``n``.
+
+    Beginnings of digests are counted (65,536 of them at most); the bucket in
+    which the ``n``-th lies is counted again by the digits that follow, until
+    its rows are few.
+    """
+    start = ""
+    while True:
+        inside = digests.where(F.col("d").startswith(start))
+        width = len(start) + _DIGITS
+        counts = inside.groupBy(F.substring("d", 1, width).alias("p")).count().collect()
+        for row in sorted(counts, key=lambda r: r["p"]):
+            if n <= row["count"]:
+                break
+            n -= row["count"]
+        start = row["p"]
+        if row["count"] <= _LAST or len(start) == 32:
+            break
+    if len(start) < 32:
+        held = sorted(r["d"] for r in digests.where(F.col("d").startswith(start)).collect())
+        start, n = held[n - 1], n - held.index(held[n - 1])
+    return start, n
+
+
 def sample_n(rows: DataFrame, n: int, key: Sequence[str], seed: int) -> DataFrame:
-    """Exactly ``n`` rows without replacement (all, if there are fewer)."""
-    return rows.orderBy(seeded_key(seed, *key), *key).limit(n)
+    """Exactly ``n`` rows without replacement (all, if there are fewer).
+
+    The digest of the ``n``-th row is found by counting, then every row up to
+    it passes a filter: no sort, and no task that holds all ``n`` rows. Rows
+    that repeat a key share its digest; if they stand at the end, some of them
+    are taken, in the order of the key.
+    """
+    digest = seeded_key(seed, *key)
+    if n <= 0:
+        return rows.limit(0)
+    if rows.count() <= n:
+        return rows
+    last, of_last = _nth_digest(rows.select(digest.alias("d")), n)
+    ties = rows.where(digest == last)
+    before = rows.where(digest < last)
+    if ties.count() == of_last:
+        return rows.where(digest <= last)
+    return before.unionByName(ties.orderBy(*key).limit(of_last))
 
 
 def shuffle_rows(rows: DataFrame, key: Sequence[str], seed: int) -> DataFrame:
@@ -105,16 +151,16 @@ def label_change_rate(predictions: DataFrame, tolerance: float) -> DataFrame:
 def best_so_far(log: DataFrame, order: str, loss: str, score: str) -> DataFrame:
     """Flag epochs that improve on every earlier one.
 
-    The log is first reduced to one row per epoch, so the ordered window runs
-    over epochs and not over steps.
+    The log is first reduced to one row per epoch. The best values before each
+    epoch are running extremes over a distributed sort.
     """
     epochs = log.groupBy(order).agg(F.avg(loss).alias("loss"), F.avg(score).alias("score"))
     rounded = epochs.select(
         order, F.round("loss", 9).alias("loss"), F.round("score", 9).alias("score")
     )
-    earlier = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    low, high = F.min("loss").over(earlier), F.max("score").over(earlier)
-    return rounded.select(
+    ran = with_running(rounded, [], [order], {"__low": ("min", "loss"), "__high": ("max", "score")}, before=True)
+    low, high = F.col("__low"), F.col("__high")
+    return ran.select(
         order,
         "loss",
         "score",

@@ -89,43 +89,57 @@ def with_position_in_group(
     )
 
 
-def with_running_sums(
+#: How a running figure is made over rows, and how what came before a slice joins it.
+_KINDS = {
+    "sum": (F.sum, lambda base, own: F.coalesce(base + own, base, own)),
+    "min": (F.min, F.least),
+    "max": (F.max, F.greatest),
+    "last": (lambda c: F.last(c, ignorenulls=True), lambda base, own: F.coalesce(own, base)),
+}
+
+
+def with_running(
     df: DataFrame,
     group: Sequence[str],
     order: Sequence[Column | str],
-    sums: dict[str, str],
+    figures: dict[str, tuple[str, str]],
+    before: bool = False,
 ) -> DataFrame:
-    """Inclusive running sums ``{new column: summed column}`` in ``order``."""
+    """Running figures ``{new column: (kind, column)}`` in ``order``, kinds sum, min, max and last (non-null value).
+
+    A prefix scan over sorted slices: each slice is reduced to one row (per
+    group it touches), the rows before a slice are reduced to what it starts
+    from, and only then are its own rows gone through. Each row counts itself
+    unless ``before`` is set; the first row then has null.
+    """
     slices = _sorted_slices(df, [*group, *order])
     parts = slices.groupBy(*group, _PART).agg(
-        *[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()]
-    )
-    # Rows here: at most (#partitions + #groups), one per slice a group touches.
-    before = (
-        Window.partitionBy(*group) if group else Window.partitionBy()
-    ).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    bases = parts.select(
-        *group,
-        _PART,
         *[
-            F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__b_{n}")
-            for n in sums
-        ],
-    )
-    inside = (
-        Window.partitionBy(*group, _PART)
-        .orderBy(_PLACE)
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    run = slices.select(
-        "*", *[F.sum(c).over(inside).alias(f"__r_{n}") for n, c in sums.items()]
-    )
-    out = run.join(bases, [*group, _PART])
-    for n in sums:
-        out = out.withColumn(n, F.col(f"__r_{n}") + F.col(f"__b_{n}"))
-    return out.drop(
-        _PART, _PLACE, *[f"__r_{n}" for n in sums], *[f"__b_{n}" for n in sums]
+            # the last row of a slice, not the last that happens to be read
+            F.max_by(c, F.when(F.col(c).isNotNull(), F.col(_PLACE))).alias(f"__t_{n}") if kind == "last" else _KINDS[kind][0](c).alias(f"__t_{n}")
+            for n, (kind, c) in figures.items()
+        ]
     )
+    # Rows here: at most (#partitions + #groups), one per slice a group touches.
+    earlier = (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.select(*group, _PART, *[_KINDS[kind][0](f"__t_{n}").over(earlier).alias(f"__b_{n}") for n, (kind, _) in figures.items()])
+    inside = Window.partitionBy(*group, _PART).orderBy(_PLACE).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    run = slices.select("*", *[_KINDS[kind][0](c).over(inside).alias(f"__r_{n}") for n, (kind, c) in figures.items()])
+    met = [run[c].eqNullSafe(bases[c]) for c in [*group, _PART]]
+    out = run.join(bases, met).drop(*[bases[c] for c in [*group, _PART]])
+    for n, (kind, _) in figures.items():
+        out = out.withColumn(n, _KINDS[kind][1](F.col(f"__b_{n}"), F.col(f"__r_{n}")))
+    return out.drop(_PART, _PLACE, *[f"__{side}_{n}" for n in figures for side in "rb"])
+
+
+def with_running_sums(
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[Column | str],
+    sums: dict[str, str],
+) -> DataFrame:
+    """Inclusive running sums ``{new column: summed column}`` in ``order``."""
+    return with_running(df, group, order, {n: ("sum", c) for n, c in sums.items()})
 
 
 def exact_quantiles(

@@ -302,6 +302,20 @@ def silhouette(spark, d):
     return M.silhouette(fx.points(spark, d)).withColumn("silhouette", r6("silhouette"))
 
 
+@query(
+    "silhouette_squared",
+    "emb",
+    """SELECT round(avg(s), 6) AS silhouette, count(*) AS n FROM (
+  SELECT id, CASE WHEN max(size) <= 1 THEN 0 ELSE (min(b) - max(a)) / greatest(max(a), min(b)) END AS s FROM (
+    SELECT id, CASE WHEN own = label THEN n END AS size, CASE WHEN own = label THEN total / (n - 1) END AS a, CASE WHEN own <> label THEN total / n END AS b
+    FROM (SELECT x.vec_id AS id, x.label AS own, y.label, count(*) AS n, sum(list_distance(x.vec, y.vec) * list_distance(x.vec, y.vec)) AS total
+          FROM emb x, emb y GROUP BY ALL)) GROUP BY id)""",
+)
+def silhouette_squared(spark, d):
+    """Silhouette from the sums of each cluster, without pairs of points."""
+    return M.silhouette_squared(fx.points(spark, d)).withColumn("silhouette", r6("silhouette"))
+
+
 # The best one-to-one match by dynamic programming over sets of labels: after each
 # cluster, the most rows matched with the labels of each set taken.
 block("label_bits", "cells_n", "SELECT truth, CAST(1 AS BIGINT) << CAST(row_number() OVER (ORDER BY truth) - 1 AS BIGINT) AS bit FROM cells_n GROUP BY truth")
