@@ -225,6 +225,13 @@ def _blocked(
     )
 
 
+def _measured(refs: DataFrame) -> tuple[DataFrame, int, int]:
+    """The references, written once as they are measured and then read again, their number and width."""
+    refs = cut(_standard(refs))
+    size = refs.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    return refs, size["n"] or 0, size["dim"] or 1
+
+
 def compare(
     queries: DataFrame,
     refs: DataFrame,
@@ -232,6 +239,7 @@ def compare(
     schema: str,
     resident_bytes: int = RESIDENT_BYTES,
     block_rows: int | None = None,
+    measured: tuple[DataFrame, int, int] | None = None,
 ) -> tuple[DataFrame, bool]:
     """Run a kernel over all query/reference pairs; True if each query met one side only.
 
@@ -240,33 +248,191 @@ def compare(
     to shuffle and more memory per task.
     """
     grouped = "grp" in refs.columns
-    # The references are measured and then read again: written once.
-    queries, refs = _standard(queries), cut(_standard(refs))
-    size = refs.agg(
-        F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")
-    ).first()
-    dim = size["dim"] or 1
-    if (size["n"] or 0) * (dim + 4) * 8 <= resident_bytes:
+    queries = _standard(queries)
+    refs, n, dim = measured or _measured(refs)
+    if n * (dim + 4) * 8 <= resident_bytes:
         return _resident(queries, refs, kernel, schema), True
     rows = block_rows or max(1, BLOCK_BYTES // (dim * 8))
     return _blocked(queries, refs, grouped, kernel, schema, rows), False
 
 
+def _best_k(found: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "ref_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def knn(
     queries: DataFrame,
     refs: DataFrame,
     k: int,
     metric: str = "inner",
     drop_self: bool = False,
+    index: bool = True,
     **layout: int,
 ) -> DataFrame:
     """Exact neighbours: ``query_id, ref_id, sim, label, rank`` (rank from 1).
 
-    For ``metric='euclidean'`` the score is the negated distance.
+    For ``metric='euclidean'`` the score is the negated distance. References
+    beyond the resident bound are searched through a metric index
+    (``knn_indexed``) unless ``index`` is false or only rows of a group meet.
     """
-    found, _ = compare(queries, refs, topk_kernel(k, metric, drop_self), TOPK_SCHEMA, **layout)
-    best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "ref_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    measured = _measured(refs)
+    rows, n, dim = measured
+    if index and "grp" not in refs.columns and n * (dim + 4) * 8 > layout.get("resident_bytes", RESIDENT_BYTES):
+        return knn_indexed(queries, rows, k, metric, drop_self, layout.get("block_rows"))[0]
+    found, _ = compare(queries, refs, topk_kernel(k, metric, drop_self), TOPK_SCHEMA, measured=measured, **layout)
+    return _best_k(found, k)
+
+
+# -------------------------------------------------------------- metric index
+
+#: Most pivots; each is one vector on the driver and in every task.
+PIVOTS = 256
+
+
+class _Cells:
+    """Pivots with the number of references nearest to each and how far these reach."""
+
+    def __init__(self, pivots: np.ndarray, rows: list, block_rows: int, metric: str):
+        self.pivots, self.metric = pivots, metric
+        self.size, self.far = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
+        for r in rows:
+            self.size[r["cell"]], self.far[r["cell"]] = r["n"], r["far"]
+        self.blocks = -(-self.size // block_rows)
+
+    def scores(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score of each pivot, and the highest that any reference of its cell can have."""
+        dots = q @ self.pivots.T
+        if self.metric == "euclidean":
+            squares = (q * q).sum(1)[:, None] - 2 * dots + (self.pivots * self.pivots).sum(1)
+            centre = -np.sqrt(np.maximum(squares, 0.0))
+            best = centre + self.far  # triangle inequality
+        else:
+            centre = dots
+            best = dots + np.sqrt((q * q).sum(1))[:, None] * self.far  # Cauchy-Schwarz on the offset from the pivot
+        return np.where(self.size > 0, centre, -np.inf), np.where(self.size > 0, best, -np.inf)
+
+    def first(self, ids: np.ndarray, q: np.ndarray, enough: int) -> np.ndarray:
+        """For each query, one block of each of the cells with the best pivots until these hold ``enough`` rows; else -1."""
+        centre, _ = self.scores(q)
+        order = np.argsort(-centre, axis=1, kind="stable")
+        held = self.size[order] // np.maximum(self.blocks[order], 1)
+        wanted = (np.cumsum(held, axis=1) - held < enough) & (self.size[order] > 0)
+        out = np.full(centre.shape, -1)
+        row, place = np.nonzero(wanted)
+        cell = order[row, place]
+        out[row, cell] = ids[row] % self.blocks[cell]
+        return out
+
+
+def _visits(cells: _Cells, enough: int, rest: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Blocks each query goes to: the first ones, or all others that can hold a row as good as its ``k``-th so far."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids, q = batch["id"].to_numpy(), _matrix(batch["vec"])
+            first = cells.first(ids, q, enough)
+            if not rest:
+                row, cell = np.nonzero(first >= 0)
+                block = first[row, cell]
+            else:
+                _, best = cells.scores(q)
+                slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(best), best, 0)).max(1))
+                bar = batch["bar"].fillna(-np.inf).to_numpy(dtype=float) - slack
+                row, cell = np.nonzero((best >= bar[:, None]) & (cells.size > 0))
+                n = cells.blocks[cell]
+                row, cell = np.repeat(row, n), np.repeat(cell, n)
+                block = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                new = first[row, cell] != block
+                row, cell, block = row[new], cell[new], block[new]
+            yield pd.DataFrame({"id": ids[row], "vec": batch["vec"].to_numpy()[row], "cell": cell, "block": block})
+
+    return run
+
+
+_VISIT = "id bigint, vec array<double>, cell bigint, block bigint"
+
+
+def _visit(visits: DataFrame, placed: DataFrame, kernel: Kernel, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Kernel rows of all visits, and the number of visits of each block.
+
+    A block that many queries visit is met by them in slots of bounded size.
+    """
+    counts = cut(visits.groupBy("cell", "block").agg(F.count("*").alias("n")))
+    slots = counts.withColumn("slots", F.ceil(F.col("n") / F.lit(block_rows)).cast("int")).drop("n")
+    left = visits.join(slots, ["cell", "block"]).withColumn("slot", F.pmod(F.xxhash64("id"), F.col("slots")).cast("int"))
+    right = placed.join(slots, ["cell", "block"]).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+
+    def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or r.empty:
+            return pd.DataFrame({c: [] for c in ("query_id", "ref_id", "sim", "label")})
+        side = Side(r["id"].to_numpy(), _matrix(r["vec"]), r["label"].to_numpy())
+        return kernel(q["id"].to_numpy(), _matrix(q["vec"]), side)
+
+    key = ["cell", "block", "slot"]
+    found = (
+        left.select(*key, "id", "vec").groupBy(*key)
+        .cogroup(right.select(*key, "id", "vec", "label").groupBy(*key))
+        .applyInPandas(run, TOPK_SCHEMA)
+    )
+    return found, counts
+
+
+def knn_indexed(
+    queries: DataFrame,
+    refs: DataFrame,
+    k: int,
+    metric: str = "inner",
+    drop_self: bool = False,
+    block_rows: int | None = None,
+    pivots: int = PIVOTS,
+) -> tuple[DataFrame, DataFrame]:
+    """Exact neighbours as ``knn``, and ``visited, possible``: how many query-block meetings there were of all.
+
+    Pivots are drawn once from the references (by hash, at most ``pivots``),
+    every reference belongs to its nearest pivot, and a pivot knows how far its
+    cell reaches. A query first meets one block of each of the best cells until
+    they hold ``k`` rows; its ``k``-th score there bars every cell whose best
+    possible score, by the triangle inequality (or Cauchy-Schwarz for inner
+    products), is lower, and it meets the blocks of the others. So clustered
+    references are searched near the query only; on rows without structure all
+    blocks may be visited, and the result is the same.
+    """
+    queries, refs = _standard(queries).select("id", "vec"), _standard(refs)
+    n = refs.count()
+    if n == 0:
+        none = refs.select(F.col("id").alias("query_id"), F.col("id").alias("ref_id"), F.lit(0.0).alias("sim"), "label", F.lit(1).alias("rank"))
+        return none, queries.agg(F.lit(0).cast("bigint").alias("visited"), F.lit(0).cast("bigint").alias("possible"))
+    share = refs.orderBy(F.xxhash64("id"), "id").limit(min(pivots, max(1, int(n**0.5))))
+    centres = _matrix(share.select("vec").toPandas()["vec"])
+    rows = block_rows or max(1, BLOCK_BYTES // (centres.shape[1] * 8))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = _matrix(batch["vec"])
+            squares = (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)
+            cell = squares.argmin(1)
+            far = np.sqrt(((x - centres[cell]) ** 2).sum(1))
+            yield batch.assign(cell=cell, far=far)
+
+    placed = cut(refs.select("id", "vec", "label").mapInPandas(place, "id bigint, vec array<double>, label int, cell bigint, far double"))
+    stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()  # a row for each pivot
+    cells = _Cells(centres, stats, rows, metric)
+    blocks = F.element_at(F.array(*[F.lit(int(b)) for b in cells.blocks]), (F.col("cell") + 1).cast("int"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).drop("far")
+    kernel, enough = topk_kernel(k, metric, drop_self), k + int(drop_self)
+    near, one = _visit(queries.mapInPandas(_visits(cells, enough, False), _VISIT), placed, kernel, rows)
+    near = cut(_best_k(near, k).drop("rank"))
+    bar = near.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("sim")).alias("bar"))
+    others = queries.join(bar, "id", "left").mapInPandas(_visits(cells, enough, True), _VISIT)
+    more, two = _visit(others, placed, kernel, rows)
+    visited = one.unionByName(two).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("visited"))
+    total = queries.agg((F.count("*") * F.lit(int(cells.blocks.sum()))).alias("possible"))
+    return _best_k(near.unionByName(more), k), visited.crossJoin(total)
 
 
 def label_sums(points: DataFrame, metric: str = "euclidean", **layout: int) -> DataFrame:

@@ -177,7 +177,15 @@ def knn_topk(spark, d):
 def knn_topk_blocked(spark, d):
     """The same with both sides cut into blocks, as for a reference too large to share."""
     q, r = fx.ref_and_query(spark, d)
-    found = S.knn(q, r, 5, resident_bytes=0, block_rows=128)
+    found = S.knn(q, r, 5, index=False, resident_bytes=0, block_rows=128)
+    return found.select("query_id", "ref_id", r6("sim").alias("sim"), "rank")
+
+
+@query("knn_topk_indexed", "near", KNN_SQL)
+def knn_topk_indexed(spark, d):
+    """The same through the metric index: only blocks that can hold a better row are visited."""
+    q, r = fx.ref_and_query(spark, d)
+    found, _ = S.knn_indexed(q, r, 5, block_rows=128)
     return found.select("query_id", "ref_id", r6("sim").alias("sim"), "rank")
 
 
