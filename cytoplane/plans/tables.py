@@ -25,6 +25,33 @@ def scan_expr(spark, d):
     return rows.select("cell_id", "gene_id", "value", "batch", "sample", "gene_name")
 
 
+@query("scan_matrix", "expr", "SELECT cell_id, gene_id, value FROM expr")
+def scan_matrix(spark, d):
+    """Expression rows written as a headed coordinate matrix with its name files, and read back."""
+    folder = workspace(spark, "matrix")
+    S.write_matrix(fx.expr(spark, d), folder)
+    found = S.read_matrix(spark, f"{folder}/matrix", f"{folder}/genes", f"{folder}/cells")
+    return found.select(F.col("cell").cast("bigint").alias("cell_id"), F.col("gene").cast("bigint").alias("gene_id"), "value")
+
+
+@query(
+    "scan_text_formats",
+    "expr obs var_genes",
+    """SELECT f AS format, e.cell_id, e.gene_id, e.value, o.batch, g.gene_name
+FROM expr e JOIN obs o USING (cell_id) JOIN var_genes g USING (gene_id), (SELECT unnest(['csv', 'json']) AS f)""",
+)
+def scan_text_formats(spark, d):
+    """Expression rows read from CSV and from JSON lines, with their annotation."""
+    out = None
+    for kind, options in (("csv", {"header": True}), ("json", {})):
+        path = workspace(spark, kind)
+        fx.expr(spark, d).select("cell_id", "gene_id", "value").write.format(kind).options(**options).save(path)
+        rows = S.annotate(S.read_expression(spark, path, kind, **options), fx.obs(spark, d), fx.var_genes(spark, d))
+        rows = rows.select(F.lit(kind).alias("format"), "cell_id", "gene_id", "value", "batch", "gene_name")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query(
     "snapshot_expr",
     "expr obs var_genes",
