@@ -278,3 +278,107 @@ def fit_linear_embedding(cells: DataFrame, width: int) -> DataFrame:
     return model.transform(scaled).select(
         "cell_id", l2_normalize(vector_to_array("pc")).alias("vec")
     )
+
+
+# --------------------------------------------------- components of sparse rows
+
+
+class _Scaled:
+    """Rows of a sparse table, centred and scaled without being made dense: ``(x - mean) / deviation``."""
+
+    def __init__(self, mean: np.ndarray, factor: np.ndarray):
+        self.mean, self.factor = mean, factor
+
+    def rows(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, gene and value of each entry."""
+        genes = batch.column("feature")
+        row = np.repeat(np.arange(batch.num_rows), genes.value_lengths().to_numpy())
+        return row, genes.flatten().to_numpy(), batch.column("value").flatten().to_numpy()
+
+    def times(self, batch: pa.RecordBatch, basis: np.ndarray) -> np.ndarray:
+        """The batch's rows times ``basis`` (genes x columns): the entries' part less that of the means."""
+        row, gene, value = self.rows(batch)
+        turned = basis * self.factor[:, None]
+        out = np.empty((batch.num_rows, basis.shape[1]))
+        for c in range(basis.shape[1]):
+            out[:, c] = np.bincount(row, value * turned[gene, c], batch.num_rows)
+        return out - self.mean @ turned
+
+    def back(self, batch: pa.RecordBatch, scores: np.ndarray, n_genes: int) -> np.ndarray:
+        """``scores`` of the rows times the rows, per gene, without the means' part (scores add up to zero over all rows)."""
+        row, gene, value = self.rows(batch)
+        parts = [np.bincount(gene, value * scores[row, c], n_genes) for c in range(scores.shape[1])]
+        return np.stack(parts, 1) * self.factor[:, None]
+
+
+def _summed(records: DataFrame, part, width: int) -> np.ndarray:
+    """Genes x ``width``: what ``part`` gives for each batch, added up in the task, then by gene."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            own = part(batch)
+            total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), _lists(total)], names=["gene_ix", "s"])
+
+    sums = records.select("feature", "value").mapInArrow(run, "gene_ix long, s array<double>")
+    rows = sums.groupBy("gene_ix").agg(vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"))
+    out = rows.orderBy("gene_ix").collect()  # genes x width numbers
+    return np.array([r["s"] for r in out]).reshape(-1, width)
+
+
+def fit_sparse_embedding(
+    records: DataFrame, n_genes: int, width: int, spare: int = 10, tolerance: float = 1e-4, rounds: int = 40, seed: int = 0
+) -> tuple[DataFrame, np.ndarray]:
+    """Scaled principal components of sparse records as unit vectors, ``cell_id, vec``, and the components' variances.
+
+    ``records`` is ``cell_id, feature, value`` (gene indexes below ``n_genes``
+    and their values; absent means zero). For any number of genes: a block of
+    ``width + spare`` directions is multiplied by the covariance without ever
+    forming it, each round one pass over the records in which a task adds up
+    genes x columns numbers, until the variances settle within ``tolerance``. The
+    driver holds genes x columns, never genes x genes. Centring is a correction
+    of the products, so records stay sparse. A gene without spread counts zero.
+    """
+    n = records.count()
+    if n < 2:
+        raise ValueError("components need two cells at least")
+
+    def moments(batch: pa.RecordBatch) -> np.ndarray:
+        gene, value = batch.column("feature").flatten().to_numpy(), batch.column("value").flatten().to_numpy()
+        return np.stack([np.bincount(gene, value, n_genes), np.bincount(gene, value * value, n_genes)], 1)
+
+    sums = _summed(records, moments, 2)
+    mean = sums[:, 0] / n
+    variance = np.maximum(sums[:, 1] - n * mean * mean, 0.0) / (n - 1)
+    live = variance > 1e-12 * np.maximum(sums[:, 1] / n, 1e-300)
+    table = _Scaled(mean, np.where(live, 1 / np.sqrt(np.where(live, variance, 1.0)), 0.0))
+    columns = min(width + spare, n_genes)
+    width = min(width, columns)
+    basis, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_genes, columns)))
+    before = np.zeros(columns)
+    for _ in range(rounds):
+        now = basis
+
+        def turn(batch: pa.RecordBatch) -> np.ndarray:
+            return table.back(batch, table.times(batch, now), n_genes)
+
+        image = _summed(records, turn, columns) / (n - 1)
+        inner = now.T @ image
+        values, mix = np.linalg.eigh((inner + inner.T) / 2)
+        values, mix = values[::-1], mix[:, ::-1]
+        best = now @ mix  # the best directions within the block, before it is turned further
+        if (np.abs(values - before)[:width] <= tolerance * max(values[0], 1e-300)).all():
+            basis = best
+            break
+        before = values
+        basis, _ = np.linalg.qr(image @ mix)
+    kept = basis[:, :width]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("cell_id"), _lists(table.times(batch, kept))], names=["cell_id", "vec"])
+
+    scored = records.select("cell_id", "feature", "value").mapInArrow(score, "cell_id long, vec array<double>")
+    return scored.select("cell_id", l2_normalize(F.col("vec")).alias("vec")), values[:width]

@@ -541,6 +541,18 @@ def fit_linear_embedding(spark, d):
     return _long(E.fit_linear_embedding(dense, 16), "cell_id", F.col("vec"))
 
 
+@query("fit_sparse_embedding")
+def fit_sparse_embedding(spark, d):
+    """Principal components over all genes, from sparse records."""
+    from cytoplane.operators.ordering import with_position
+    from cytoplane.session import cut
+
+    genes = with_position(fx.var_genes(spark, d).select("gene_id"), ["gene_id"], "gene_ix")
+    rows = fx.norm(spark, d).join(genes, "gene_id").select("cell_id", "gene_ix", "value")
+    found, _ = E.fit_sparse_embedding(cut(R.build_records(rows)), genes.count(), 16, rounds=12)
+    return _long(found, "cell_id", F.col("vec"))
+
+
 # -------------------------------------------------------------------- classifier
 
 

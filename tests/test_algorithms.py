@@ -221,3 +221,48 @@ def test_matrix_files_in_splits(spark, tmp_path):
             T.read_matrix(spark, *(str(tmp_path / n) for n in ("m.mtx", "g.tsv", "c.tsv")))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+# ------------------------------------------------------------- sparse components
+
+
+def _records(spark, dense):
+    rows = [(i, [int(g) for g in np.flatnonzero(r)], [float(v) for v in r[r != 0]]) for i, r in enumerate(dense)]
+    return spark.createDataFrame(rows, "cell_id bigint, feature array<bigint>, value array<double>").repartition(3)
+
+
+def test_sparse_components_equal_the_dense_ones(spark):
+    from cytoplane.operators import encode as E
+
+    rng = np.random.default_rng(9)
+    hidden = rng.standard_normal((120, 3)) @ (rng.standard_normal((3, 64)) * [[3], [2], [1]])
+    dense = np.maximum(hidden + rng.standard_normal((120, 64)) * 0.3, 0)
+    dense[:, 7] = 0.0  # shown by no cell
+    dense[5] = 0.0  # an empty cell
+    found, values = E.fit_sparse_embedding(_records(spark, dense), 64, 3, tolerance=1e-9)
+    scale = dense.std(0, ddof=1)
+    x = (dense - dense.mean(0)) / np.where(scale > 0, scale, 1)
+    _, s, v = np.linalg.svd(x, full_matrices=False)
+    assert np.abs(values - (s**2 / 119)[:3]).max() < 1e-6
+    want = x @ v[:3].T
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    got = np.array([r["vec"] for r in found.orderBy("cell_id").collect()])
+    sign = np.sign((got * want).sum(0))
+    assert np.abs(got * sign - want).max() < 1e-3
+
+
+def test_sparse_components_of_many_genes(spark):
+    from cytoplane.operators import encode as E
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(90):  # three kinds of cells, each with genes of its own among 20,000
+        own = rng.choice(np.arange(i % 3 * 300, i % 3 * 300 + 300), 60, replace=False)
+        genes = np.unique(np.concatenate([own, rng.integers(900, 20_000, 30)]))
+        rows.append((i, [int(g) for g in genes], [1.0 + float(x) for x in rng.random(len(genes))]))
+    records = spark.createDataFrame(rows, "cell_id bigint, feature array<bigint>, value array<double>")
+    found, values = E.fit_sparse_embedding(records, 20_000, 2, rounds=6)
+    vec = np.array([r["vec"] for r in found.orderBy("cell_id").collect()])
+    near = vec @ vec.T
+    same = np.arange(90)[:, None] % 3 == np.arange(90) % 3
+    assert near[same].min() > near[~same].max() and values[0] >= values[1] > 0
