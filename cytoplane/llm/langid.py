@@ -177,7 +177,7 @@ def train(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = SE
     return net
 
 
-def _labeller(net: Network):
+def _labeller(net: Network, added: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, raw, offsets in bytework.blocks(batch.column("text")):
@@ -197,7 +197,7 @@ def _labeller(net: Network):
                 scores = np.where(lettered, np.clip(total.max(axis=0, initial=0), 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays(
                     [*batch.slice(low, n).columns, pa.array(names, pa.string()), pa.array(np.round(scores, 6))],
-                    names=[*batch.schema.names, "lang_pred", "score"],
+                    names=[*batch.schema.names, *added],
                 )
 
     return run
@@ -231,11 +231,16 @@ def sample(docs: DataFrame) -> tuple[list[str], list[str]]:
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
-def label(docs: DataFrame, net: Network) -> DataFrame:
-    """``docs`` with ``lang_pred, score``; columns of these names are replaced."""
-    docs = docs.drop("lang_pred", "score")
-    shape = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(_labeller(net), shape)
+def label(docs: DataFrame, net: Network, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and its score under ``names``; columns of these names are replaced.
+
+    A network that has learnt no language gives ``und`` and 0.
+    """
+    docs = docs.drop(*names)
+    if not net.langs:
+        return docs.withColumns({names[0]: F.lit(UNKNOWN), names[1]: F.lit(0.0)})
+    shape = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return docs.mapInArrow(_labeller(net, names), shape)
 
 
 def predict(docs: DataFrame, net: Network | None = None) -> DataFrame:
@@ -256,6 +261,15 @@ def predict(docs: DataFrame, net: Network | None = None) -> DataFrame:
 
 
 def reject_unknown(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
-    """``docs`` less those without a language: no letters, or none with ``least_score`` of the probability."""
-    known = label(docs, train(*sample(docs)))
-    return known.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(*docs.columns)
+    """``docs`` less those without a language: no letters, or none with ``least_score`` of the probability.
+
+    All columns stay as they are, whatever their names. A null or empty text
+    goes. If no document has both text and language, nothing can be learnt and
+    no text be told from another, so only those without a letter go. Repeated
+    rows share their fate; an empty table gives an empty result.
+    """
+    net = train(*sample(docs))
+    if not net.langs:
+        return docs.where("text rlike '\\\\p{L}'")
+    known = label(docs, net, ("__lang_pred", "__score"))
+    return known.where((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= least_score)).select(*[f"`{c}`" for c in docs.columns])

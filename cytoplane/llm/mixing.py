@@ -124,13 +124,14 @@ def take(docs: DataFrame, shares: DataFrame, pattern: str, seed: int = 0) -> Dat
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     docs = docs.withColumn("__key", key).withColumn("__bucket", F.substring("__key", 1, _BUCKET))
+    shares = shares.withColumnsRenamed({"whole": "__whole", "part": "__part"})
     sums = docs.groupBy(pattern, "__bucket").agg(F.sum("size").alias("s"))
     before = Window.partitionBy(pattern).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("s").over(before), F.lit(0)))
     last = (
         sums.join(F.broadcast(shares), F.col(pattern).eqNullSafe(F.col("__p")))
-        .where((F.col("before") < F.col("part")) & (F.col("before") + F.col("s") >= F.col("part")))
-        .select(F.col("__p").alias("__q"), F.col("__bucket").alias("__last"), (F.col("part") - F.col("before")).alias("__left"))
+        .where((F.col("before") < F.col("__part")) & (F.col("before") + F.col("s") >= F.col("__part")))
+        .select(F.col("__p").alias("__q"), F.col("__bucket").alias("__last"), (F.col("__part") - F.col("before")).alias("__left"))
     )
     shares = shares.join(last, F.col("__p").eqNullSafe(F.col("__q")), "left").drop("__q")
     placed = docs.join(F.broadcast(shares), F.col(pattern).eqNullSafe(F.col("__p")))
@@ -140,8 +141,8 @@ def take(docs: DataFrame, shares: DataFrame, pattern: str, seed: int = 0) -> Dat
     edge = edge.withColumn("__extra", inside)
     rest = placed.where("__last is null or __bucket <> __last")
     rest = rest.withColumn("__extra", F.when(F.col("__bucket") < F.col("__last"), F.col("size")).otherwise(F.lit(0)))
-    out = rest.unionByName(edge).withColumn("taken", (F.col("whole") * F.col("size") + F.col("__extra")).cast("long"))
-    return out.drop("__p", "__key", "__bucket", "__last", "__left", "__extra", "whole", "part")
+    out = rest.unionByName(edge).withColumn("taken", (F.col("__whole") * F.col("size") + F.col("__extra")).cast("long"))
+    return out.drop("__p", "__key", "__bucket", "__last", "__left", "__extra", "__whole", "__part")
 
 
 def mix(

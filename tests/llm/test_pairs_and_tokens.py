@@ -239,3 +239,27 @@ def test_joint_tables_are_counts_of_terms():
             for x, a in enumerate(levels[s]):
                 for y, b in enumerate(levels[o]):
                     assert found[starts[s] + x, starts[o] + y] == ((counts[:, s] == a) & (counts[:, o] == b)).sum()
+
+
+# ------------------------------------------------- columns and labels of the stages
+
+
+def test_further_columns_keep_their_names_and_values(spark):
+    from cytoplane.llm import langid, lines, mixing
+
+    names = ["gone", "part", "whole", "before", "s", "score", "lang_pred", "node", "key"]
+    texts = {"en": "the quick brown fox jumps over the lazy dog again ", "de": "der schnelle braune fuchs springt über den faulen hund "}
+    rows = [(i, texts[k] * 3 + str(i), k, k, *[i * 10 + j for j in range(len(names))]) for i, k in enumerate(["en", "de"] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} int" for c in names))
+    for stage in (lines.dedup_lines, mixing.mix_documents, langid.reject_unknown):
+        found = stage(docs).select("doc_id", *names).collect()
+        assert found and all(tuple(r)[1:] == tuple(r["doc_id"] * 10 + j for j in range(len(names))) for r in found)
+
+
+def test_no_language_to_learn_from(spark):
+    from cytoplane.llm import langid
+
+    docs = spark.createDataFrame([(1, "some words", None), (2, None, "en"), (3, "12 34", None), (4, "", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs).collect()}
+    assert got == {i: ("und", 0.0) for i in range(1, 5)}
+    assert [r["doc_id"] for r in langid.reject_unknown(docs).collect()] == [1]
