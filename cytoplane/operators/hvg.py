@@ -31,12 +31,13 @@ MIN_MEAN, MAX_MEAN, MIN_DISPERSION = 0.0125, 3.0, 0.5
 def gene_moments(expr: DataFrame, cells: DataFrame, genes: DataFrame | None = None) -> DataFrame:
     """Mean and sample variance of un-logged values per gene (and batch).
 
-    ``cells`` is ``cell_id`` or ``cell_id, batch``. Without batches, ``genes``
-    adds the genes no cell shows.
+    ``cells`` is ``cell_id`` or ``cell_id, batch``; ``expr`` may carry the batch
+    itself. Without batches, ``genes`` adds the genes no cell shows.
     """
     by = ["batch"] if "batch" in cells.columns else []
     if by:
-        expr = expr.join(cells.select("cell_id", *by), "cell_id")
+        if "batch" not in expr.columns:
+            expr = expr.join(cells.select("cell_id", *by), "cell_id")
         size = cells.groupBy(*by).agg(F.count("*").alias("n"))
     else:
         size = cells.agg(F.count("*").alias("n"))

@@ -74,17 +74,22 @@ def preprocess(
     if min_cells is not None:
         kept = filter_genes(filter_cells(expr, min_genes), min_cells)
         return log1p(normalize_total(kept, target))
+    return scale_and_log(expr, cell_totals(expr, min_genes), target)
+
+
+def cell_totals(expr: DataFrame, min_genes: int | None = MIN_GENES) -> DataFrame:
+    """``cell_id, __total`` of the cells that pass the gene filter: one row per cell, from one aggregation."""
     least = MIN_GENES if min_genes is None else min_genes
-    cells = (
-        expr.groupBy("cell_id")
-        .agg(F.count_if(F.col("value") > 0).alias("__n"), F.sum("value").alias("__total"))
-        .where(F.col("__n") >= least)
-    )
+    sums = expr.groupBy("cell_id").agg(F.count_if(F.col("value") > 0).alias("__n"), F.sum("value").alias("__total"))
+    return sums.where(F.col("__n") >= least).drop("__n")
+
+
+def scale_and_log(expr: DataFrame, totals: DataFrame, target: float = TARGET_SUM) -> DataFrame:
+    """Rows of the cells of ``totals``, scaled to ``target`` and logged; other columns of ``totals`` come along."""
     share = F.col("value") * F.lit(float(target)) / F.col("__total")
     scaled = F.when(F.col("__total") == 0, F.col("value")).otherwise(share)
-    return expr.join(cells, "cell_id").select(
-        "cell_id", "gene_id", F.log1p(scaled).alias("value")
-    )
+    extra = [c for c in totals.columns if c not in ("cell_id", "__total")]
+    return expr.join(totals, "cell_id").select("cell_id", "gene_id", F.log1p(scaled).alias("value"), *extra)
 
 
 def default_batch(obs: DataFrame, batch: str | None = None) -> DataFrame:

@@ -135,14 +135,15 @@ block("batch_scored", "batch_moments", _scored_sql("batch_moments", "batch"))
 
 
 def _moments(spark, d):
-    rows = cut(fx.norm(spark, d))  # preprocessed tables are stored between stages
-    return H.gene_moments(rows, rows.select("cell_id").distinct(), fx.var_genes(spark, d))
+    """Sums over the scan itself: only a row per cell is written, never the normalised table."""
+    cells = cut(P.cell_totals(fx.expr(spark, d), fx.MIN_GENES))
+    return H.gene_moments(P.scale_and_log(fx.expr(spark, d), cells), cells.select("cell_id"), fx.var_genes(spark, d))
 
 
 def _batch_moments(spark, d):
-    rows = cut(fx.norm(spark, d))
-    cells = rows.select("cell_id").distinct().join(fx.obs(spark, d).select("cell_id", "batch"), "cell_id")
-    return H.gene_moments(rows, cells)
+    totals = P.cell_totals(fx.expr(spark, d), fx.MIN_GENES)
+    cells = cut(totals.join(fx.obs(spark, d).select("cell_id", "batch"), "cell_id"))
+    return H.gene_moments(P.scale_and_log(fx.expr(spark, d), cells), cells.select("cell_id", "batch"))
 
 
 @query("gene_moments", "moments", "SELECT gene_id, round(mean, 6) AS mean, round(variance, 4) AS variance FROM moments")

@@ -557,18 +557,20 @@ def fit_sparse_embedding(spark, d):
 
 
 def _classified(spark, d):
-    """Fit on all minibatch groups but one; predict the held-out one."""
+    """Fit on the dictionary codes of the label names, on all minibatch groups but one; predict the held-out one."""
     rows = fx.emb(spark, d).select(
-        F.col("vec_id").alias("id"), "vec", F.col("label").alias("code"), F.when(F.col("part_role") == "query", 1).otherwise(0).alias("batch")
+        F.col("vec_id").alias("id"), "vec", F.col("label").alias("truth"), F.concat(F.lit("type "), F.col("label")).alias("name"),
+        F.when(F.col("part_role") == "query", 1).otherwise(0).alias("batch"),
     )
-    model = CL.fit_classifier(rows, held_out=1)
-    return model, rows
+    names = R.encode_dictionary(rows, {"label": "name"}, "id")
+    coded = R.apply_dictionary(rows, names, "label", "name", "code")
+    return CL.fit_classifier(coded, held_out=1), coded, names
 
 
 @query("fit_label_classifier")
 def fit_label_classifier(spark, d):
     """Training fit: share of training rows the classifier gets right, by class."""
-    model, rows = _classified(spark, d)
+    model, rows, _ = _classified(spark, d)
     out = CL.predict(model, rows.where("batch <> 1"))
     return out.groupBy("code").agg(
         F.count("*").alias("n"), r6(F.avg((F.col("code") == F.col("pred_code")).cast("double"))).alias("recall")
@@ -577,20 +579,16 @@ def fit_label_classifier(spark, d):
 
 @query("predict_labels")
 def predict_labels(spark, d):
-    model, rows = _classified(spark, d)
-    out = CL.predict(model, rows.where("batch = 1"))
-    names = R.encode_dictionary(rows.select(F.col("code").alias("label"), "id"), {"label": "label"}, "id")
-    codes = names.select((F.col("value").cast("int")).alias("pred_code"), F.col("value").alias("pred_label"))
-    out = out.join(F.broadcast(codes), "pred_code", "left")  # one row per class
-    return out.select(
-        "id", F.col("code").alias("truth"), F.col("pred_code").alias("pred"), "pred_label", r6(F.array_max("probability")).alias("confidence")
-    )
+    """Label names of the held-out rows: predicted codes read back through the dictionary."""
+    model, rows, names = _classified(spark, d)
+    out = R.decode(CL.predict(model, rows.where("batch = 1")), names, "label", "pred_code", "pred_label")
+    return out.select("id", "truth", F.col("pred_code").alias("pred"), "pred_label", r6(F.array_max("probability")).alias("confidence"))
 
 
 @query("predict_label_scores")
 def predict_label_scores(spark, d):
     """Accuracy and F1 of the classifier on the batch held out."""
-    model, rows = _classified(spark, d)
+    model, rows, _ = _classified(spark, d)
     out = CL.predict(model, rows.where("batch = 1")).select("id", F.col("code").alias("truth"), F.col("pred_code").alias("pred"))
     scores = M.accuracy(out).withColumn("k", F.lit(0)).join(M.f1_summary(out).withColumn("k", F.lit(0)), "k")
     return scores.select("n", *[r6(c).alias(c) for c in ("accuracy", "f1_median", "f1_macro", "f1_micro")])

@@ -78,6 +78,8 @@ def test_stars_limits(spark):
 def test_predictions_are_probabilities(spark, folder):
     rows = Q["predict_labels"](spark, folder).collect()
     assert rows and all(0 < r["confidence"] <= 1 and 0 <= r["pred"] < 10 for r in rows)
+    assert all(r["pred_label"].startswith("type ") for r in rows)
+    assert len({(r["pred"], r["pred_label"]) for r in rows}) == len({r["pred"] for r in rows})
 
 
 def test_linear_embedding_has_unit_rows(spark, folder):
