@@ -287,7 +287,10 @@ def knn(
 # -------------------------------------------------------------- metric index
 
 #: Most pivots; each is one vector on the driver and in every task.
-PIVOTS = 256
+PIVOTS = 1024
+#: Bytes of vectors that a cell should hold: smaller cells are told apart better, but a query is sent to more of them.
+CELL_BYTES = 4 << 20
+_SENT = 4096
 
 
 class _Cells:
@@ -347,7 +350,10 @@ def _visits(cells: _Cells, enough: int, rest: bool) -> Callable[[Iterator[pd.Dat
                 block = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 new = first[row, cell] != block
                 row, cell, block = row[new], cell[new], block[new]
-            yield pd.DataFrame({"id": ids[row], "vec": batch["vec"].to_numpy()[row], "cell": cell, "block": block})
+            vecs = batch["vec"].to_numpy()
+            for low in range(0, len(row), _SENT):  # a query may go to many blocks
+                part = slice(low, low + _SENT)
+                yield pd.DataFrame({"id": ids[row[part]], "vec": vecs[row[part]], "cell": cell[part], "block": block[part]})
 
     return run
 
@@ -387,12 +393,13 @@ def knn_indexed(
     metric: str = "inner",
     drop_self: bool = False,
     block_rows: int | None = None,
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Exact neighbours as ``knn``, and ``visited, possible``: how many query-block meetings there were of all.
 
-    Pivots are drawn once from the references (by hash, at most ``pivots``),
-    every reference belongs to its nearest pivot, and a pivot knows how far its
+    Pivots are drawn once from the references, by hash: ``pivots`` of them, or
+    one for every ``CELL_BYTES`` of vectors (4 at least, ``PIVOTS`` at most). Every
+    reference belongs to its nearest pivot, and a pivot knows how far its
     cell reaches. A query first meets one block of each of the best cells until
     they hold ``k`` rows; its ``k``-th score there bars every cell whose best
     possible score, by the triangle inequality (or Cauchy-Schwarz for inner
@@ -405,7 +412,9 @@ def knn_indexed(
     if n == 0:
         none = refs.select(F.col("id").alias("query_id"), F.col("id").alias("ref_id"), F.lit(0.0).alias("sim"), "label", F.lit(1).alias("rank"))
         return none, queries.agg(F.lit(0).cast("bigint").alias("visited"), F.lit(0).cast("bigint").alias("possible"))
-    share = refs.orderBy(F.xxhash64("id"), "id").limit(min(pivots, max(1, int(n**0.5))))
+    dim = refs.agg(F.max(F.size("vec"))).first()[0]
+    wanted = pivots or min(PIVOTS, max(4, -(-n * dim * 8 // CELL_BYTES)))
+    share = refs.orderBy(F.xxhash64("id"), "id").limit(min(wanted, n))
     centres = _matrix(share.select("vec").toPandas()["vec"])
     rows = block_rows or max(1, BLOCK_BYTES // (centres.shape[1] * 8))
 

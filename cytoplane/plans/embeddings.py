@@ -185,7 +185,7 @@ def knn_topk_blocked(spark, d):
 def knn_topk_indexed(spark, d):
     """The same through the metric index: only blocks that can hold a better row are visited."""
     q, r = fx.ref_and_query(spark, d)
-    found, _ = S.knn_indexed(q, r, 5, block_rows=128)
+    found, _ = S.knn_indexed(q, r, 5)
     return found.select("query_id", "ref_id", r6("sim").alias("sim"), "rank")
 
 
