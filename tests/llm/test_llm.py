@@ -93,7 +93,6 @@ def brute_lines(spark, docs):
         .select("doc_id", "pos", F.array_join(lines.line_words(F.col("line")), " ").alias("norm")).collect()
     }
     places = [(r["doc_id"], r["pos"]) for r in table]
-    fp = {(r["doc_id"], r["pos"]): r["fp"] & (2**64 - 1) for r in table}
     root = {p: p for p in places}
 
     def find(p):
@@ -113,7 +112,7 @@ def brute_lines(spark, docs):
         for q in places[:i]:
             a, b = norm[p].split(" "), norm[q].split(" ")
             same = norm[p] == norm[q]
-            near = min(len(a), len(b)) >= 5 and bin(fp[p] ^ fp[q]).count("1") <= lines.RADIUS
+            near = min(len(a), len(b)) >= 5
             if same or near and edits(a, b) <= max(len(a), len(b)) // lines.EDIT_SHARE:
                 x, y = find(p), find(q)
                 root[max(x, y)] = min(x, y)
@@ -205,21 +204,6 @@ def test_digits_marks_and_signs_tell_lines_apart(spark):
     }
 
 
-def test_block_keys_meet_within_radius(spark):
-    rng = random.Random(1)
-    pairs = []
-    for _ in range(300):
-        a = rng.getrandbits(64)
-        b = a
-        for k in rng.sample(range(64), rng.randint(0, 3)):
-            b ^= 1 << k
-        pairs.append(tuple(x - (1 << 64) if x >> 63 else x for x in (a, b)))
-    df = spark.createDataFrame(pairs, "a long, b long")
-    for blocks in (4, 5, 6, 8):
-        met = F.arrays_overlap(lines.block_keys(F.col("a"), blocks), lines.block_keys(F.col("b"), blocks))
-        assert df.where(~met).count() == 0
-
-
 def test_line_dedup_odd(spark):
     got = {r["doc_id"]: r for r in lines.dedup_lines(docs_of(spark, ODD)).collect()}
     assert got[0]["text"] is None and got[1]["text"] == "" and got[2]["text"] == " \n\t"
