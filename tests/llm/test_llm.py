@@ -204,6 +204,54 @@ def test_digits_marks_and_signs_tell_lines_apart(spark):
     }
 
 
+def packed_batches(rows, size):
+    """``rows`` of (part, key below 2**40, node) as the tasks send them, ``size`` to a batch."""
+    for low in range(0, len(rows), size):
+        parts, data = [], []
+        for part in sorted({r[0] for r in rows[low : low + size]}):
+            own = [(node, key & 0xFFFFFFFF, key >> 32) for p, key, node in rows[low : low + size] if p == part]
+            parts.append(part)
+            data.append(np.array(own, lines.PACKED).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
+
+
+@pytest.mark.parametrize("held", [3, 20, 1 << 21])
+def test_shared_keys_whatever_a_task_holds(monkeypatch, held):
+    """All lines of a key are told of under one name, also if the task had to reduce what it holds many times."""
+    monkeypatch.setattr(lines, "PART_KEYS", held)
+    rng = random.Random(held)
+    rows = [(rng.randrange(3), rng.choice([5, 7, 1 << 39, 900 + rng.randrange(200)]), rng.randrange(-20, 60)) for _ in range(400)]
+    rows += rng.sample(rows, 60)
+    want, got = {}, {}
+    for part, key, node in rows:
+        want.setdefault((part, key), set()).add(node)
+    for out in lines._shared(packed_batches(rows, 7)):
+        for name, node in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+            got.setdefault(name, set()).add(node)
+    several = {frozenset(nodes) for nodes in want.values() if len(nodes) > 1}
+    assert several and {frozenset(nodes) for nodes in got.values()} == several
+
+
+def test_runs_left_by_the_allowed_edits():
+    """Of two lines within the allowed edits some key is the same, for every length up to 45 and edits of all kinds."""
+    rng = random.Random(4)
+    for n in range(5, 46):
+        for _ in range(40):
+            base = [rng.randrange(1 << 32) for _ in range(n)]
+            own, edits = list(base), 0
+            while True:
+                kind, longer = rng.choice("sid"), max(n, len(own) + 1)
+                if edits + 1 > (longer if kind == "i" else max(n, len(own))) // lines.EDIT_SHARE or (kind == "d" and len(own) == lines.LEAST_WORDS):
+                    break
+                at = rng.randrange(len(own))
+                own[at : at + (kind != "i")] = [] if kind == "d" else [rng.randrange(1 << 32)]
+                edits += 1
+            w = np.array(base + own, np.uint32)
+            size = (w % 9 + 1).astype(np.uint8)
+            key, row = lines._line_keys(w, size, np.repeat([0, 1], [n, len(own)]))
+            assert set(key[row == 0]) & set(key[row == 1]), (n, len(own), edits)
+
+
 def test_line_dedup_odd(spark):
     got = {r["doc_id"]: r for r in lines.dedup_lines(docs_of(spark, ODD)).collect()}
     assert got[0]["text"] is None and got[1]["text"] == "" and got[2]["text"] == " \n\t"
