@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 
 from cytoplane.functions.vectors import two_sided_normal_p
 from cytoplane.operators.ordering import exact_quantiles, with_running_sums
+from cytoplane.session import cut
+
+#: A dimension measured to be smaller than this may stand beside every row.
+SHARED_BYTES = 16 << 20
 
 # Fixed values.
 WHISKER = 1.5
@@ -32,11 +36,21 @@ def crosstab(rows: DataFrame, a: str, b: str) -> DataFrame:
 def with_each(rows: DataFrame, others: DataFrame) -> DataFrame:
     """Every row beside every row of ``others``, a dimension (labels, sets, samples).
 
-    The dimension becomes one array beside each row and is unfolded in place:
-    the grid is the result asked for, but it is made without a shuffle.
+    A dimension measured to be below ``SHARED_BYTES`` becomes one array beside
+    each row and is unfolded in place, without a shuffle. A larger one is dealt
+    into blocks of about that size; each row is sent to every block, by a join on
+    the block's number, and unfolded there.
     """
-    entries = others.agg(F.collect_list(F.struct(*others.columns)).alias("e"))
-    return rows.withColumn("__e", F.explode(entries.scalar())).select(*rows.columns, "__e.*")
+    entry = F.struct(*others.columns)
+    others = cut(others)
+    size = others.agg(F.sum(F.octet_length(F.to_json(entry)) + F.lit(16 * len(others.columns)))).first()[0] or 0
+    blocks = -(-size // SHARED_BYTES)
+    if blocks <= 1:
+        entries = others.agg(F.collect_list(entry).alias("e"))
+        return rows.withColumn("__e", F.explode(entries.scalar())).select(*rows.columns, "__e.*")
+    dealt = others.groupBy(F.pmod(F.xxhash64(*others.columns), F.lit(blocks)).alias("__b")).agg(F.collect_list(entry).alias("__e"))
+    sent = rows.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    return sent.join(dealt, "__b").withColumn("__e", F.explode("__e")).select(*rows.columns, "__e.*")
 
 
 def composition(rows: DataFrame, cluster: str, sample: str) -> DataFrame:

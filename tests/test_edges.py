@@ -18,6 +18,7 @@ from cytoplane.operators import preprocess as P
 from cytoplane.operators import similarity as S
 from cytoplane.operators import text as X
 from cytoplane.operators import transfer as T
+from cytoplane.operators.matching import best_assignment
 from cytoplane.session import workspace
 from cytoplane.sources import records as R
 
@@ -217,7 +218,7 @@ def test_assignment_against_all_permutations():
             full = np.zeros((n, n), int)
             full[: shape[0], : shape[1]] = gain
             best = max(sum(full[i, p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
-            pairs = M.best_assignment(gain)
+            pairs = best_assignment(gain)
             assert len({r for r, _ in pairs}) == len(pairs) == len({c for _, c in pairs})
             assert sum(gain[r, c] for r, c in pairs) == best
 

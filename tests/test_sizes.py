@@ -15,6 +15,7 @@ from cytoplane.operators import cohort as C
 from cytoplane.operators import graph as G
 from cytoplane.operators import hvg as H
 from cytoplane.operators import losses as L
+from cytoplane.operators import matching
 from cytoplane.operators import metrics as M
 from cytoplane.operators import similarity as S
 from cytoplane.operators import text as X
@@ -243,3 +244,63 @@ def test_positions_in_a_hot_group_move_no_rows(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
+
+def _best_total(cells):
+    """Largest total of a one-to-one match, by trying all."""
+    table = {(a, b): n for a, b, n in cells}
+    rows = sorted({a for a, _, _ in cells})
+
+    def best(k, taken):
+        if k == len(rows):
+            return 0
+        own = [(b, n) for (a, b), n in table.items() if a == rows[k] and b not in taken]
+        return max([best(k + 1, taken)] + [n + best(k + 1, taken | {b}) for b, n in own])
+
+    return best(0, frozenset())
+
+
+def _one_to_one(got, cells):
+    assert len({r["a"] for r in got}) == len({r["b"] for r in got}) == len(got)
+    assert {tuple(r) for r in got} <= set(cells)
+
+
+@pytest.mark.parametrize("limits", [{}, {"DRIVER_CELLS": 0}, {"DENSE_CELLS": 0}])
+def test_matching_in_every_form(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(matching, name, value)
+    rng = np.random.default_rng(8)
+    cells = [(a, f"c{b}", int(rng.integers(1, 9))) for a in range(5) for b in range(4) if rng.random() < 0.8]
+    got = matching.best_pairs(spark.createDataFrame(cells, "a int, b string, n long")).collect()
+    _one_to_one(got, cells)
+    assert sum(r["n"] for r in got) == _best_total(cells)
+    assert matching.best_pairs(spark.createDataFrame([], "a int, b string, n long")).collect() == []
+
+
+def test_auction_with_ties_and_large_counts(spark):
+    for cells in ([(a, b, 3) for a in range(4) for b in range(3)], [(0, 0, 10**9), (0, 1, 10**9 - 1), (1, 0, 10**9 - 1)], [(7, 7, 1)]):
+        got = matching.auction(spark.createDataFrame(cells, "a int, b int, n long")).collect()
+        _one_to_one(got, cells)
+        assert sum(r["n"] for r in got) == _best_total(cells)
+
+
+def test_safe_pairs_lose_nothing(spark):
+    rng = np.random.default_rng(3)
+    for _ in range(4):
+        cells = [(a, b, int(rng.integers(1, 6)) * (5 if a == b else 1)) for a in range(6) for b in range(6) if rng.random() < 0.7]
+        table = spark.createDataFrame(cells, "a int, b int, n long")
+        safe = matching.safe_pairs(table).collect()
+        _one_to_one(safe, cells)
+        rest = [c for c in cells if c[0] not in {r["a"] for r in safe} and c[1] not in {r["b"] for r in safe}]
+        assert sum(r["n"] for r in safe) + _best_total(rest) == _best_total(cells)
+
+
+def test_grid_of_a_large_dimension_is_made_in_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"r{i}") for i in range(5)], "i int, name string")
+    others = spark.createDataFrame([(None, "x")] + [(k, "y" * k) for k in range(30)], "k int, text string")
+    want = sorted(map(str, C.with_each(rows, others).collect()))
+    monkeypatch.setattr(C, "SHARED_BYTES", 200)
+    got = C.with_each(rows, others)
+    assert got.columns == ["i", "name", "k", "text"]
+    assert sorted(map(str, got.collect())) == want
+    assert len(want) == 5 * 31
+    assert C.with_each(rows, others.limit(0)).count() == 0
