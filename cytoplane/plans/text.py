@@ -113,10 +113,16 @@ def _tokens(spark, d):
     return _docs(spark, d).select("doc_id", X.basic_words(F.col("text")).alias("words"))
 
 
-def _piece_vocab(spark, d):
+def _words_and_vocab(spark, d):
+    """The words of all documents, cut once, and the piece vocabulary made of them."""
+    words = cut(_tokens(spark, d))
+    return words, _piece_vocab(spark, words)
+
+
+def _piece_vocab(spark, tokens):
     from cytoplane.operators.ordering import with_position
 
-    words = _tokens(spark, d).select(F.explode_outer("words").alias("word")).where("word IS NOT NULL")
+    words = tokens.select(F.explode_outer("words").alias("word")).where("word IS NOT NULL")
     counts = cut(words.groupBy("word").agg(F.count("*").alias("n")))
     frequent = counts.where("n >= 20").select(F.col("word").alias("token"), "n")
     starts = F.explode(F.sequence(F.lit(1), F.length("word")))
@@ -179,13 +185,13 @@ def _piece_rows(df):
 
 @query("wordpiece_tokenize", "doc_pieces", PIECES_SQL)
 def wordpiece_tokenize(spark, d):
-    return _piece_rows(X.wordpiece(_tokens(spark, d), _piece_vocab(spark, d)))
+    return _piece_rows(X.wordpiece(*_words_and_vocab(spark, d)))
 
 
 @query("wordpiece_tokenize_by_join", "doc_pieces", PIECES_SQL)
 def wordpiece_tokenize_by_join(spark, d):
     """The same by joins, as for a vocabulary too large to share."""
-    return _piece_rows(X.wordpiece(_tokens(spark, d), _piece_vocab(spark, d), limit=0))
+    return _piece_rows(X.wordpiece(*_words_and_vocab(spark, d), limit=0))
 
 
 CODE = {"cls": "(SELECT id FROM piece_vocab WHERE token = '[CLS]')", "sep": "(SELECT id FROM piece_vocab WHERE token = '[SEP]')"}
@@ -198,8 +204,9 @@ CODE = {"cls": "(SELECT id FROM piece_vocab WHERE token = '[CLS]')", "sep": "(SE
   SELECT doc_id, list_concat([{CODE['cls']}], CASE WHEN len(ids) > 126 THEN ids[1:126] ELSE ids END, [{CODE['sep']}]) AS ids FROM doc_pieces)""",
 )
 def encode_text(spark, d):
-    vocab = cut(_piece_vocab(spark, d))
-    rows = X.wordpiece(_tokens(spark, d), vocab)
+    words, vocab = _words_and_vocab(spark, d)
+    vocab = cut(vocab)
+    rows = X.wordpiece(words, vocab)
     ids, segments = X.encode(F.col("ids"), X.special_ids(vocab), maxlen=128)
     return _encoded(rows.select("doc_id", ids.alias("ids"), segments.alias("segments")), "doc_id")
 
@@ -283,8 +290,9 @@ DECODE_PART = f"""CASE WHEN starts_with(t, '##') THEN substr(t, 3) WHEN length(t
 )
 def decode_ids(spark, d):
     """Ids of whole documents back to readable text."""
-    vocab = cut(_piece_vocab(spark, d))
-    rows = X.wordpiece(_tokens(spark, d), vocab)
+    words, vocab = _words_and_vocab(spark, d)
+    vocab = cut(vocab)
+    rows = X.wordpiece(words, vocab)
     named = X.ids_to_tokens(rows.select("doc_id", "ids"), vocab)
     text = X.decode_tokens(F.col("tokens"))
     return named.select("doc_id", text.alias("t")).select(
@@ -301,8 +309,8 @@ FROM doc_pieces JOIN documents USING (doc_id)""",
 )
 def token_offsets(spark, d):
     """Places of all word pieces in the original text, with the text found there."""
-    vocab = _piece_vocab(spark, d)
-    docs = _docs(spark, d).select("doc_id", "text", X.basic_words(F.col("text")).alias("words"))
+    docs = cut(_docs(spark, d).select("doc_id", "text", X.basic_words(F.col("text")).alias("words")))
+    vocab = _piece_vocab(spark, docs)
     spans = X.wordpiece(docs, vocab).withColumn("spans", X.token_offsets(F.col("text"), F.col("pieces")))
     good = F.zip_with(
         "pieces",
