@@ -2,7 +2,7 @@
 
 Numbers, names and units become typed placeholders, so that a question asked
 again with other values gives the same template. Windows of template tokens
-are looked up in the benchmark's; the values behind the placeholders must then
+are joined with the benchmark's by hash; the values behind the placeholders must then
 correspond one to one throughout a document and an item. Windows are looked up
 by their exact words too, so that copies are found whatever their capitals,
 their place in a sentence and their share of numbers and names.
@@ -16,19 +16,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytoplane.llm import bytework
 from cytoplane.llm.common import share_if_small
-from cytoplane.session import cut
+from cytoplane.session import cut, ship
 
 WINDOW = 8
 #: A document is contaminated by an item if it holds this share of its windows.
 COVERAGE = 0.3
-#: Text of the benchmark that one pass over the documents looks for.
-BLOCK_CHARS = 8_000_000
+#: A benchmark text of fewer tokens must be a line of its own in the document; one of fewer still is not looked for.
+ALONE, LEAST_TOKENS = 5, 3
+#: Words of 64 bits of the sieve that documents' windows must pass before they are joined.
+SIEVE_WORDS = 1 << 20
 
 # Unit words and signs.
 UNITS = frozenset(
@@ -174,60 +177,114 @@ def _run_hashes(hashes: np.ndarray, width: int, start: np.ndarray) -> tuple[np.n
     return bytework.mix(total[start] + np.uint64(width)), start
 
 
-@dataclass
-class Index:
-    """Windows of one block of benchmark items, by width and whether by exact words: sorted hashes, and where each is.
+def _line_edges(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """For each token, whether it is the first, and the last, of its line."""
+    feeds = np.concatenate([[0], np.cumsum(t.raw == 0x0A)])
+    first = np.ones(len(t.rows), bool)
+    first[1:] = (t.rows[1:] != t.rows[:-1]) | (feeds[t.starts[1:]] > feeds[t.ends[:-1]])
+    return first, np.append(first[1:], True)[: len(first)]
 
-    A place is an item, its window, the window's slots, and whether half of it
-    is literal. ``sizes``: of each item the windows that are, and all windows.
-    """
 
-    tables: dict[tuple[int, bool], tuple[np.ndarray, list[list[tuple[int, int, tuple, bool]]]]]
-    sizes: dict[int, tuple[int, int]]
+def _bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    parts = [x.encode("utf-8", "replace") for x in texts]
+    return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+
+
+def _slots(t: Tokens, start: int, width: int) -> list[str]:
+    """Kind (one digit) and value of each token that is not literal."""
+    return [f"{t.kind[k]}{t.value(k)}" for k in range(start, start + width) if t.kind[k] != LITERAL]
+
 
+_PLACE = "width int, exact boolean, hash long, {own}, slots array<string>"
+_ITEM_ROWS = _PLACE.format(own="item_id long, w long, good boolean")
+_DOC_ROWS = _PLACE.format(own="doc_id long, copy string, s int")
 
-def index(items: list[tuple[int, str]]) -> Index:
-    """An item of fewer than ``WINDOW`` tokens has one window, of them all.
 
-    The first token of an item is indexed as a sentence's first word and, if it
-    has a capital, as a name, since a document may have it either way.
+def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of benchmark texts ``item_id, th, text``.
+
+    A text of fewer than ``WINDOW`` tokens has one window, of them all; one of
+    fewer than ``LEAST_TOKENS`` has none. The first token is indexed as a
+    sentence's first word and, if it has a capital, as a name, since a document
+    may have it either way.
+    """
+    for batch in batches:
+        ids, th = batch.column("item_id").to_numpy(), batch.column("th").to_numpy().view(np.uint64)
+        for low, _, raw, offsets in bytework.blocks(batch.column("text")):
+            t = canonical(raw, offsets, _Odd())
+            named = _as_names(t)
+            count = np.bincount(t.rows, minlength=len(offsets) - 1)
+            head = np.cumsum(count) - count
+            rows: list[tuple] = []
+            for width in sorted({min(int(c), WINDOW) for c in count if c >= LEAST_TOKENS}):
+                own = np.flatnonzero(np.minimum(count, WINDOW) == width)
+                hashes, start = windows(t, width)
+                good = set(start.tolist())
+                more, at = windows(named, width)
+                other = named.kind[at] != t.kind[at]
+                for exact, forms in ((False, [(t, hashes, start), (named, more[other], at[other])]), (True, [(t, *runs(t, width))])):
+                    for form, hs, starts in forms:
+                        mine = np.isin(form.rows[starts], own)
+                        r = form.rows[starts[mine]]
+                        w = bytework.mix(th[low + r] + (starts[mine] - head[r]).astype(np.uint64)).view(np.int64)
+                        for h, s, x, k in zip(hs[mine].view(np.int64).tolist(), starts[mine].tolist(), w.tolist(), r.tolist()):
+                            rows.append((width, exact, h, int(ids[low + k]), x, s in good, _slots(form, s, width)))
+            if rows:
+                kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.string())]
+                names = ["width", "exact", "hash", "item_id", "w", "good", "slots"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+
+def _sieve(places: DataFrame) -> np.ndarray:
+    """Bits set for the hashes of the benchmark's windows, ``SIEVE_WORDS`` words whatever the benchmark's size.
+
+    What passes it is looked up for real; a larger benchmark lets more windows pass in vain.
     """
-    raw, offsets = _bytes([text for _, text in items])
-    t = canonical(raw, offsets, _Odd())
-    named = _as_names(t)
-    count = np.bincount(t.rows, minlength=len(items))
-    literal: dict[int, int] = Counter()
-    every: dict[int, int] = Counter()
-    tables = {}
-    for width in sorted({min(int(c), WINDOW) for c in count if c}):
-        own = np.flatnonzero(np.minimum(count, WINDOW) == width)
-        hashes, start = windows(t, width)
-        good = set(start.tolist())
-        more, at = windows(named, width)
-        other = named.kind[at] != t.kind[at]
-        for exact, forms in ((False, [(t, hashes, start), (named, more[other], at[other])]), (True, [(t, *runs(t, width))])):
-            places = defaultdict(list)
-            for form, hs, starts in forms:
-                mine = np.isin(form.rows[starts], own)
-                for h, s in zip(hs[mine].tolist(), starts[mine].tolist()):
-                    item = items[t.rows[s]][0]
-                    places[h].append((item, s, _slots(form, s, width), s in good))
-                    if exact:
-                        every[item] += 1
-                        literal[item] += s in good
-            if places:
-                order = sorted(places)
-                tables[width, exact] = (np.array(order, np.uint64), [places[h] for h in order])
-    return Index(tables, {item: (literal[item], n) for item, n in every.items()})
+    word = F.shiftrightunsigned("hash", 6).bitwiseAND(F.lit(SIEVE_WORDS - 1))
+    bit = F.expr("shiftleft(1L, cast(hash & 63 as int))")
+    rows = places.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    sieve = np.zeros(SIEVE_WORDS, np.uint64)
+    sieve[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return sieve
 
 
-def _bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [x.encode("utf-8", "replace") for x in texts]
-    return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+def _passes(sieve: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    word = sieve[(hashes >> np.uint64(6)) & np.uint64(len(sieve) - 1)]
+    return ((word >> (hashes & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def _doc_rows(shared, forms: list[tuple[int, bool]]):
+    """The windows of documents that may be in the benchmark; short ones only where they stand alone on a line."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odd, sieve = _Odd(), shared.value
+        for batch in batches:
+            for low, _, raw, offsets in bytework.blocks(batch.column("text")):
+                t = canonical(raw, offsets, odd)
+                count = np.bincount(t.rows, minlength=len(offsets) - 1)
+                head = np.cumsum(count) - count
+                edges = _line_edges(t) if any(width < ALONE for width, _ in forms) else None
+                for width, exact in forms:
+                    hashes, start = runs(t, width) if exact else windows(t, width)
+                    hit = _passes(sieve, hashes)
+                    if width < ALONE:
+                        hit &= edges[0][start] & edges[1][start + width - 1]
+                    hashes, start = hashes[hit], start[hit]
+                    if not len(start):
+                        continue
+                    row = t.rows[start]
+                    slots = [[]] * len(start) if exact else [_slots(t, s, width) for s in start.tolist()]
+                    source = pa.array(low + row)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(start), width, np.int32)), pa.array(np.full(len(start), exact)), pa.array(hashes.view(np.int64)),
+                            batch.column("doc_id").take(source), batch.column("copy").take(source),
+                            pa.array((start - head[row]).astype(np.int32)), pa.array(slots, pa.list_(pa.string())),
+                        ],
+                        names=["width", "exact", "hash", "doc_id", "copy", "s", "slots"],
+                    )
 
-def _slots(t: Tokens, start: int, width: int) -> tuple:
-    return tuple((int(t.kind[k]), t.value(k)) for k in range(start, start + width) if t.kind[k] != LITERAL)
+    return run
 
 
 def _judge(hits: list[tuple[int, bool, tuple, tuple]], literal: int, every: int) -> tuple[int, int, bool]:
@@ -237,12 +294,12 @@ def _judge(hits: list[tuple[int, bool, tuple, tuple]], literal: int, every: int)
     other way round: the most frequent counterpart counts, and windows that
     disagree with it are not held.
     """
-    votes: dict[tuple, Counter] = defaultdict(Counter)
+    votes: dict[str, Counter] = defaultdict(Counter)
     for _, _, theirs, ours in hits:
         for a, b in zip(theirs, ours):
             votes[a][b] += 1
     there = {a: min(c, key=lambda b: (-c[b], b != a, b)) for a, c in votes.items()}
-    back: dict[tuple, tuple] = {}
+    back: dict[str, str] = {}
     for a in sorted(there, key=lambda a: (a != there[a], -votes[a][there[a]], a)):
         back.setdefault(there[a], a)
     held = {(w, good) for w, good, theirs, ours in hits if all(there[a] == b and back[b] == a for a, b in zip(theirs, ours))}
@@ -252,45 +309,31 @@ def _judge(hits: list[tuple[int, bool, tuple, tuple]], literal: int, every: int)
     return len(held), changed, enough
 
 
-def _finder(found: Index):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odd = _Odd()
-        for batch in batches:
-            for low, _, raw, offsets in bytework.blocks(batch.column("text")):
-                t = canonical(raw, offsets, odd)
-                hits: dict[tuple[int, int], list] = defaultdict(list)
-                seen = set()
-                for (width, exact), (known, places) in found.tables.items():  # templates first
-                    hashes, start = runs(t, width) if exact else windows(t, width)
-                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                    for i in np.flatnonzero(known[at] == hashes).tolist():
-                        s = int(start[i])
-                        ours = () if exact else _slots(t, s, width)
-                        for item, w, theirs, good in places[at[i]]:
-                            if not exact:
-                                seen.add((s, item, w))
-                            elif (s, item, w) in seen:
-                                continue
-                            hits[int(t.rows[s]), item].append((w, good, theirs, theirs if exact else ours))
-                rows = []
-                for (row, item), matches in hits.items():
-                    held, changed, bad = _judge(matches, *found.sizes[item])
-                    if bad:
-                        rows.append((low + row, item, held, found.sizes[item][1], changed))
-                if rows:
-                    place, item, held, total, changed = zip(*rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column("doc_id").take(pa.array(place)), batch.column("copy").take(pa.array(place)),
-                            *(pa.array(c, pa.int64()) for c in (item, held, total, changed)), pa.array([True] * len(rows)),
-                        ],
-                        names=["doc_id", "copy", "item_id", "n_windows", "item_windows", "n_changed", "contaminated"],
-                    )
+def _verdict(hits: pd.Series, literal: pd.Series, every: pd.Series) -> pd.DataFrame:
+    rows = []
+    for own, n_literal, n_every in zip(hits, literal, every):
+        matched = {(x["s"], x["w"]) for x in own if not x["exact"]}  # a window matched as a template needs no second match
+        kept = [x for x in own if not (x["exact"] and (x["s"], x["w"]) in matched)]
+        pairs = [(x["w"], x["good"], tuple(x["theirs"]), tuple(x["theirs"] if x["exact"] else x["ours"])) for x in kept]
+        rows.append(_judge(pairs, n_literal, n_every))
+    return pd.DataFrame(rows, columns=["held", "changed", "bad"])
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.where("text is not null").select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), "text").distinct()
 
-    return run
 
+def left_out(benchmark: DataFrame) -> DataFrame:
+    """``item_id, text, reason`` of benchmark texts that are not looked for: those of fewer than ``LEAST_TOKENS`` tokens."""
+
+    @F.pandas_udf("int")
+    def tokens(texts: pd.Series) -> pd.Series:
+        odd = _Odd()
+        return texts.map(lambda x: len(canonical(*_bytes([x]), odd).rows) if x else 0)
 
-_SHAPE = "doc_id long, copy string, item_id long, n_windows long, item_windows long, n_changed long, contaminated boolean"
+    ship(benchmark.sparkSession)
+    reason = F.concat(F.col("n").cast("string"), F.lit(f" of {LEAST_TOKENS} tokens"))
+    return _items(benchmark).withColumn("n", tokens("text")).where(F.col("n") < LEAST_TOKENS).select("item_id", "text", reason.alias("reason"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -301,10 +344,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item's own. A document contains an item if it holds 30 % or more, one at
     least, of its windows or of those with half literal tokens. The others have
     no template and are held only word for word (case and signs aside).
+    Benchmark texts of fewer than ``ALONE`` tokens are held only by documents
+    that have them as a line of their own; those of fewer than ``LEAST_TOKENS``
+    by none (``left_out`` lists them).
 
-    The benchmark is sent to the tasks in blocks of ``BLOCK_CHARS`` characters
-    of whole items, each block in a pass over the documents, so neither side
-    has to fit in memory and the documents are never shuffled.
+    Windows of both sides are joined by their hash; the benchmark's are sent to
+    all executors if they are measured to be small. Windows that a sieve of bits
+    knows not to be in the benchmark never leave their task. Slots are checked
+    after the join, for each document and item. Items with the same texts are
+    looked for once.
 
     Null and empty texts and items contain nothing and are in nothing. Repeated
     documents give repeated rows, repeated items (same id and text) count once;
@@ -312,19 +360,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     or ``item_id`` is passed on (the latter as -1). Other columns are ignored;
     empty tables give an empty result. ``copy`` is the MD5 of the text.
     """
-    rows = docs.where("text is not null").select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5("text").alias("copy")
-    )
-    items = benchmark.where("text is not null").select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), "text").distinct()
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-size // BLOCK_CHARS)
-    items = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(max(blocks, 1))))
-    result = None
-    for k in range(max(blocks, 1)):
-        block = [(r["item_id"], r["text"]) for r in items.where(F.col("block") == k).orderBy("item_id", "text").collect()]
-        part = rows.mapInArrow(_finder(index(block)), _SHAPE)
-        result = part if result is None else result.unionByName(part)
-    return result
+    spark = docs.sparkSession
+    ship(spark)
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5("text").alias("copy"))
+    items = cut(_items(benchmark).withColumn("th", F.xxhash64("text")))
+    marks = [F.count("*"), F.bit_xor("th"), F.bit_xor(F.xxhash64(F.lit(1), F.col("text"))), F.min(F.md5("text"))]
+    alike = items.groupBy("item_id").agg(*[m.alias(f"m{k}") for k, m in enumerate(marks)])
+    first = alike.groupBy("m0", "m1", "m2", "m3").agg(F.min("item_id").alias("first"))
+    alike = cut(alike.join(first, ["m0", "m1", "m2", "m3"]).select("item_id", "first"))
+
+    firsts = items.join(alike.where("item_id = first").select("item_id"), "item_id", "left_semi")
+    places = cut(firsts.select("item_id", "th", "text").mapInArrow(_item_rows, _ITEM_ROWS))
+    sizes = places.where("exact").groupBy("item_id").agg(F.count("*").alias("every"), F.count_if("good").alias("literal"))
+    forms = [(r["width"], r["exact"]) for r in places.select("width", "exact").distinct().orderBy("exact", "width").collect()]
+    known = places.withColumnRenamed("slots", "theirs")
+    bytes_ = 80 + F.aggregate("theirs", F.lit(0), lambda n, x: n + F.octet_length(x) + 16)
+    found = rows.mapInArrow(_doc_rows(spark.sparkContext.broadcast(_sieve(places)), forms), _DOC_ROWS)
+    hits = found.join(share_if_small(known, bytes_), ["width", "exact", "hash"])
+    match = ["exact", "s", "w", "good", "theirs", F.col("slots").alias("ours")]
+    hits = hits.groupBy("doc_id", "copy", "item_id", F.struct(*match).alias("hit")).agg(F.count("*").alias("times"))
+    per = hits.groupBy("doc_id", "copy", "item_id").agg(F.collect_list("hit").alias("hits"), F.max("times").cast("int").alias("times"))
+    verdict = F.pandas_udf(_verdict, "struct<held:bigint,changed:bigint,bad:boolean>")
+    judged = per.join(share_if_small(sizes, 40), "item_id").withColumn("v", verdict("hits", "literal", "every")).where("v.bad")
+    again = judged.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("times")))).withColumnRenamed("item_id", "first")
+    return again.join(share_if_small(alike, 32), "first").select(
+        "doc_id", "copy", "item_id", F.col("v.held").alias("n_windows"), F.col("every").alias("item_windows"),
+        F.col("v.changed").alias("n_changed"), F.col("v.bad").alias("contaminated"),
+    )
 
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -57,17 +57,22 @@ def odd_table(spark, tmp_path):
     spark.createDataFrame([(3, 1, 1), (5, 0, 0), (None, 1, 1), (6, None, None)], "doc_id long, quality int, toxic int").write.parquet(
         str(tmp_path / "labels.parquet")
     )
+    vectors = [(0, [1.0, 2.0], 0), (1, [2.0, 4.0], 1), (2, None, 0), (3, [], None), (4, [0.0, 0.0], 0), (5, [float("nan"), 1.0], 0), (6, [-1.0, 0.5], 0)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     return str(tmp_path)
 
 
+#: Rows of a query on the odd tables where they are not one for each document.
+ODD_ROWS = {"op4_warc": len(ODD) + 2, "op9_html_text": len(ODD) + 2, "op11_near_vectors": 7, "op7_decontamination": None, "op13_divergence": None}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_odd_and_empty_tables(spark, tmp_path, name):
     odd = odd_table(spark, tmp_path / "odd")
     got = QUERIES[name](spark, odd).collect()
-    if name not in ("op7_decontamination",):
-        assert len(got) == (len(ODD) + 2 if name in ("op4_warc", "op9_html_text") else len(ODD) + 3)
+    assert ODD_ROWS.get(name, len(ODD) + 3) in (len(got), None)
     empty = tmp_path / "empty"
-    for table in ("documents", "pages", "benchmark", "labels"):
+    for table in ("documents", "pages", "benchmark", "labels", "embeddings"):
         spark.read.parquet(f"{odd}/{table}.parquet").where("1 = 0").write.parquet(str(empty / f"{table}.parquet"))
     assert QUERIES[name](spark, str(empty)).collect() == []
 
@@ -511,14 +516,34 @@ def test_templates_and_slots(spark):
     assert left & {0, 1, 2, 3, 4, 5} == {2, 3, 4}
 
 
-def test_blocks_of_the_benchmark_agree(spark, folder, monkeypatch):
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
+def test_forms_of_the_window_join_agree(spark, folder, monkeypatch):
+    """A sieve that lets nearly all pass, and a join without broadcast, find the same."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(200)
     bench = spark.read.parquet(f"{folder}/benchmark.parquet")
     one = sorted(map(str, decontam.contaminated(docs, bench).collect()))
-    monkeypatch.setattr(decontam, "BLOCK_CHARS", 2000)
+    monkeypatch.setattr(decontam, "SIEVE_WORDS", 16)
+    monkeypatch.setattr(decontam, "share_if_small", lambda df, _: df)
     assert sorted(map(str, decontam.contaminated(docs, bench).collect())) == one and one
 
 
+def test_short_items_mark_only_lines_of_their_own(spark):
+    items = ["Paris", "Yes.", "in the end", "Who wrote the Iliad?"]
+    texts = ["A long text about Paris in spring", "He said yes and left", "so in the end all was well", "Paris\nYes.", "asked:\n- In the end!\nthen",
+             "people ask who wrote the iliad? and more", "Who wrote the Iliad?"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs_of(spark, texts), bench).collect()}
+    assert got == {(4, 2), (6, 3)}
+    left = {r["item_id"]: r["reason"] for r in decontam.left_out(bench).collect()}
+    assert left == {0: "1 of 3 tokens", 1: "1 of 3 tokens"}
+
+
+def test_equal_items_and_repeated_documents(spark):
+    bench = spark.createDataFrame([(i, ITEM) for i in range(3000)] + [(5000, ITEM), (5000, "one more text that belongs to this item only")], "item_id long, text string")
+    docs = docs_of(spark, [" ".join([ITEM] * 50)] * 2 + ["nothing"]).withColumn("doc_id", F.floor(F.col("doc_id") / 2).cast("long"))
+    got = decontam.contaminated(docs, bench).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("item_id").alias("items")).collect()
+    assert [tuple(r) for r in got] == [(0, 6002, 3001)]
+
+
 def test_copies_without_literals_or_sentence_start_are_found(spark):
     items = ["WHO WROTE THE OLD GREEK POEM CALLED ILIAD AND WHEN DID HE", "Compute 3 + 4 * 5 - 6", "Who wrote the Iliad?", "The Quick Brown Fox Jumps"]
     texts = [f"A heading without a stop\n{x}\nand some more words" for x in items] + ["A heading\nWho wrote the Odyssey?", "Compute 3 + 4 * 5 - 7", "who knows"]
