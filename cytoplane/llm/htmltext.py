@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
@@ -22,6 +23,7 @@ TAG = re.compile(
     r"|</?[a-zA-Z][^>]*(?:>|\Z)",
     re.DOTALL,
 )
+ANCHOR = re.compile(r"\s*(?:name|id)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)\s*/?", re.IGNORECASE)  # a place in the page, no link
 ATTR = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 # Kinds of HTML elements, and names that mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,6 +47,8 @@ AFFIXES = frozenset(
     "active area bar block bottom box btn button buttons container fixed footer form global header icon icons inner item items left "
     "link links list main mobile outer page post posts primary right secondary section site sticky sub top wrap wrapper".split()
 )
+#: Beside ``header`` these name the head of the article, which belongs to it, not that of the site.
+ARTICLE_PARTS = frozenset("article content entry post posts section story title".split())
 #: Elements that hold the article, whatever their class or id.
 HOLDERS = frozenset(("html", "body", "main", "article"))
 
@@ -53,6 +57,7 @@ HOLDERS = frozenset(("html", "body", "main", "article"))
 class Line:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
+    said: bool = False  # has letters or digits outside links
     outside: bool = False
     main: bool = False
     text: str = ""
@@ -61,7 +66,8 @@ class Line:
 def _names_outside(token: str, in_main: bool) -> bool:
     """Does a whole class or id say that this is not the article? Each of its parts must be such a name or an affix."""
     parts = [x for x in re.split(r"[^a-z]+", token) if x]
-    named = any(x in OUTSIDE_NAMES or (x == "header" and not in_main) for x in parts)
+    heads = "header" in parts and not in_main and not ARTICLE_PARTS.intersection(parts)
+    named = heads or any(x in OUTSIDE_NAMES for x in parts)
     return named and all(x in OUTSIDE_NAMES or x in AFFIXES for x in parts)
 
 
@@ -87,7 +93,8 @@ def _outside(name: str, attrs: str, in_main: bool) -> bool:
 def lines(page: str) -> list[Line]:
     """The page without markup, a line for each block, with where it stands."""
     found: list[Line] = []
-    open_: list[tuple[str, bool, bool]] = []  # name, outside, main: of the element and all around it
+    open_: list[tuple[str, bool, bool, bool]] = []  # name, outside, main (of the element and all around it), link
+    count: Counter = Counter()  # open elements of each name, and links under ""
     line = Line()
 
     def cut() -> None:
@@ -95,16 +102,26 @@ def lines(page: str) -> list[Line]:
         line.text = " ".join("".join(line.parts).split())
         if line.text:
             found.append(line)
-        state = open_[-1] if open_ else ("", False, False)
+        state = open_[-1] if open_ else ("", False, False, False)
         line = Line(outside=state[1], main=state[2])
 
+    def shut(place: int) -> list[str]:
+        closed = open_[place:]
+        del open_[place:]
+        for x in closed:
+            count[x[0]] -= 1
+            count[""] -= x[3]
+        return [x[0] for x in closed]
+
     def add(raw: str) -> None:
         if not raw:
             return
         text = html.unescape(raw)
         line.parts.append(text)
-        if any(x[0] == "a" for x in open_[-8:]):
+        if count[""]:
             line.linked += len(text.strip())
+        elif not line.said:
+            line.said = any(map(str.isalnum, text))
 
     at, end = 0, len(page)
     while at < end:
@@ -118,31 +135,36 @@ def lines(page: str) -> list[Line]:
         if not name:
             continue
         if m["close"]:
-            place = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == name), None)
-            closed = open_[place:] if place is not None else []
-            if name not in INLINE or any(x[0] not in INLINE for x in closed) or _turns(open_, place):
-                if place is not None:
-                    del open_[place:]
+            if not count[name]:  # closes nothing
+                if name not in INLINE:
+                    cut()
+                continue
+            place = len(open_) - 1
+            while open_[place][0] != name:
+                place -= 1
+            turns = open_[place][1] != (open_[place - 1][1] if place else False)  # ends a part that is left out
+            if any(x not in INLINE for x in shut(place)) or turns:
                 cut()
-            elif place is not None:
-                del open_[place:]
             continue
         if name in VOID:
             if name not in INLINE:
                 cut()
             continue
-        outer = open_[-1] if open_ else ("", False, False)
+        outer = open_[-1] if open_ else ("", False, False, False)
         outside = outer[1] or _outside(name, m["attrs"], outer[2])
         if name not in INLINE:
             if name in ("p", "li", "dt", "dd", "option", "tr", "td", "th"):  # these end one of their kind
                 place = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] not in INLINE), None)
                 if place is not None and open_[place][0] == name:
-                    del open_[place:]
-                    outer = open_[-1] if open_ else ("", False, False)
+                    shut(place)
+                    outer = open_[-1] if open_ else ("", False, False, False)
                     outside = outer[1] or _outside(name, m["attrs"], outer[2])
         block = name not in INLINE or outside != outer[1]
         main = outer[2] or name in MAIN or bool(re.search(r"\brole\s*=\s*[\"']?main\b", m["attrs"] or ""))
-        open_.append((name, outside, main))
+        link = name == "a" and not ANCHOR.fullmatch(m["attrs"] or "")
+        open_.append((name, outside, main, link))
+        count[name] += 1
+        count[""] += link
         if block:
             cut()
         if name in RAW:
@@ -152,9 +174,13 @@ def lines(page: str) -> list[Line]:
     return found
 
 
-def _turns(open_: list, place: int | None) -> bool:
-    """Does closing this inline element end a part that is left out?"""
-    return place is not None and open_[place][1] != (open_[place - 1][1] if place else False)
+def _listed(own: list[Line]) -> list[bool]:
+    """For each line, whether it is one of ``WINDOW`` or more in a row whose words are all in links."""
+    found: list[bool] = []
+    for only, run in groupby(own, key=lambda x: x.linked > 0 and not x.said):
+        n = len(list(run))
+        found += [only and n >= WINDOW] * n
+    return found
 
 
 def extract(page: str | None) -> str:
@@ -162,8 +188,10 @@ def extract(page: str | None) -> str:
 
     A line weighs its text outside links; a line in an element that is not the
     article (menu, header, footer, sidebar, notice, advert, form, comments)
-    weighs nothing. A line in ``article`` or ``main`` weighs ``SURGE`` more, so
-    any text there surges, and text elsewhere is judged by its own weight.
+    weighs nothing. A line in ``article`` or ``main`` weighs ``SURGE`` more, unless
+    it is one of ``WINDOW`` lines in a row whose words are all in links: so any
+    text there surges, lists of links there dive, and text elsewhere is judged by
+    its own weight.
     Text surges where the sum over ``WINDOW`` lines passes ``SURGE`` and the
     line weighs something (any such line, if no sum on the page passes it), and
     dives where the sum is 0. Lines in between are kept, except those in such
@@ -173,7 +201,8 @@ def extract(page: str | None) -> str:
     for main, part in groupby(lines(page or ""), key=lambda x: x.main):
         own = list(part)
         more = SURGE + 1 if main else 0
-        weights = [0 if x.outside else max(len(x.text) - x.linked, 0) + more for x in own]
+        listed = _listed(own)
+        weights = [0 if x.outside or y else max(len(x.text) - x.linked, 0) + more for x, y in zip(own, listed)]
         parts.append((own, weights, [sum(weights[i : i + WINDOW]) for i in range(len(weights))]))
     least = SURGE if any(s > SURGE for _, _, sums in parts for s in sums) else 0
     kept = []

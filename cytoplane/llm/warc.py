@@ -19,8 +19,15 @@ from cytoplane.session import cut
 VERSION = "WARC/1.1"
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bytes of an archive, about; each is read by one task.
+#: Most bytes of an archive, unless one record is larger; each is read by one task.
 ARCHIVE_BYTES = 16 << 20
+#: Records of alike size are written together: each class is up to so many times larger than the one before.
+CLASS_STEP, LEAST_CLASS = 8, 4 << 10
+#: Bytes of a record beside its payload, at most, but for its URL.
+HEAD_ROOM = 1024
+#: Most bytes of a record's header, and those that one gzip member may inflate to: beyond that it counts as damaged.
+HEADER_BYTES, INFLATED_BYTES = 1 << 20, 1 << 30
+PIECE, NAME_BYTES = 1 << 16, 1 << 12
 #: Equal payloads of at least so many bytes are stored once.
 LEAST_REVISIT = 0
 _HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -36,7 +43,7 @@ def base32_sha1(text: Column) -> Column:
 
 
 def records(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> DataFrame:
-    """``page_id, record, size``: the text of one WARC record for each page, without its closing line ends.
+    """``page_id, record, most``: the text of one WARC record for each page, without its closing line ends, and the bytes it may take.
 
     Of pages with equal payloads of ``least_revisit`` bytes or more, the one with
     the least id is a response and the others revisit it.
@@ -45,6 +52,7 @@ def records(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> DataFrame:
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url"), payload.alias("payload"),
         base32_sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"),
+        (F.octet_length(payload) + F.coalesce(F.octet_length("url"), F.lit(0)) + F.lit(HEAD_ROOM)).cast("long").alias("most"),
     )
     firsts = (
         rows.where(F.col("bytes") >= least_revisit).groupBy("digest", "bytes")
@@ -81,17 +89,30 @@ def records(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> DataFrame:
         F.lit("\r\n"),
         F.col("block"),
     )
-    return rows.select("page_id", record.alias("record"), F.octet_length("payload").alias("size"))
+    return rows.select("page_id", record.alias("record"), "most")
 
 
 def write(found: DataFrame, path: str, row_bytes: int) -> None:
-    """Archives of about ``ARCHIVE_BYTES`` below ``path``, by Spark's text writer: any file system, safe to retry."""
-    found.select("record").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, ARCHIVE_BYTES // row_bytes)).text(path)
+    """Archives below ``path`` of records no larger than ``row_bytes``, by Spark's text writer: any file system, safe to retry."""
+    lines = found.select("record").write.mode("append").option("lineSep", "\r\n\r\n")
+    lines.option("maxRecordsPerFile", max(1, ARCHIVE_BYTES // row_bytes)).text(path)
 
 
 def write_pages(pages: DataFrame, path: str, least_revisit: int = LEAST_REVISIT) -> None:
-    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
-    write(records(pages, least_revisit), path, int(mean) + 700)
+    """Archives of no more than ``ARCHIVE_BYTES``, or of one record if that is larger.
+
+    Records are written by classes of size, a pass over the pages for each class
+    that occurs (no more than ten): so a few large pages among many small ones
+    don't end up together.
+    """
+    size = F.coalesce(F.octet_length("html"), F.lit(0)) + F.coalesce(F.octet_length("url"), F.lit(0)) + F.lit(HEAD_ROOM)
+    tops = [LEAST_CLASS * CLASS_STEP**k for k in range(8)]
+    name = F.aggregate(F.array(*[F.lit(x) for x in tops]), F.lit(0), lambda n, x: n + F.when(size > x, 1).otherwise(0))
+    found = sorted(r["c"] for r in pages.select(name.alias("c")).distinct().collect())
+    made = records(pages, least_revisit)
+    for c in found or [0]:
+        low, high = F.lit(tops[c - 1] if c else -1), F.lit(tops[c] if c < len(tops) else 1 << 62)
+        write(made.where((F.col("most") > low) & (F.col("most") <= high)), path, tops[c] if c < len(tops) else ARCHIVE_BYTES)
 
 
 # ------------------------------------------------------------------- reading
@@ -119,19 +140,42 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _plain(data: bytes, at: int) -> tuple[Record, int]:
+class _HeaderEnds:
+    """Blank lines of one archive. Searches only go forward, so that all of them together read it once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.low, self.found = data, 0, None
+        self.fresh = True
+
+    def after(self, at: int) -> re.Match | None:
+        if self.fresh or at < self.low or (self.found is not None and at > self.found.start()):
+            self.found = _HEAD_END.search(self.data, at)
+            self.low, self.fresh = at, False
+        return self.found
+
+
+def _header_lines(data: bytes, at: int, stop: int) -> Iterator[bytes]:
+    while True:
+        feed = data.find(b"\n", at, stop)
+        yield data[at : stop if feed < 0 else feed].removesuffix(b"\r")
+        if feed < 0:
+            return
+        at = feed + 1
+
+
+def _plain(data: bytes, at: int, ends: _HeaderEnds) -> tuple[Record, int]:
     """The record at ``at`` and where it ends; every check that fails raises."""
     start = _VERSION.match(data, at)
     if not start:
         raise Damaged("no version line")
-    end = _HEAD_END.search(data, start.end())
-    if not end:
+    end = ends.after(start.end())
+    if not end or end.start() - at > HEADER_BYTES:
         raise Damaged("header not ended")
     headers: dict[str, str] = {}
     last = ""
-    for raw in data[start.end() : end.start()].replace(b"\r\n", b"\n").split(b"\n"):
+    for raw in _header_lines(data, start.end(), end.start()):  # a bad line ends it: the rest is not read
         text = raw.decode("utf-8", "replace")
-        if text[:1] in " \t" and last:
+        if text[:1] in (" ", "\t") and last:
             headers[last] += " " + text.strip()
             continue
         name, colon, value = text.partition(":")
@@ -165,19 +209,44 @@ def payload_of(record: Record) -> bytes:
     return record.block
 
 
+def _member_head(data: bytes, at: int) -> None:
+    """Raises unless a gzip header stands at ``at`` whose name and comment end soon."""
+    flags = data[at + 3] if at + 10 <= len(data) else 0xFF
+    if flags & 0xE0:
+        raise Damaged("bad gzip member")
+    place = at + 10
+    if flags & 4:
+        place += 2 + int.from_bytes(data[place : place + 2], "little")
+    for bit in (8, 16):
+        if flags & bit:
+            place = data.find(b"\0", place, place + NAME_BYTES) + 1
+            if not place:
+                raise Damaged("bad gzip member")
+
+
 def _member(data: bytes, at: int) -> tuple[list[Record], int]:
     """The records of the gzip member at ``at`` and where it ends."""
-    inflate = zlib.decompressobj(31)
+    _member_head(data, at)
+    inflate, parts, size, place = zlib.decompressobj(31), [], 0, at
     try:
-        plain = inflate.decompress(data[at:])
+        while not inflate.eof and place < len(data):
+            piece = data[place : place + PIECE]
+            place += len(piece)
+            while piece and not inflate.eof:
+                parts.append(inflate.decompress(piece, INFLATED_BYTES - size + 1))
+                size += len(parts[-1])
+                if size > INFLATED_BYTES:
+                    raise Damaged("gzip member too large")
+                piece = inflate.unconsumed_tail
     except zlib.error:
         raise Damaged("bad gzip member") from None
     if not inflate.eof:
         raise Damaged("gzip member cut off")
-    end = len(data) - len(inflate.unused_data)
+    plain, end = b"".join(parts), place - len(inflate.unused_data)
+    ends = _HeaderEnds(plain)
     found, place = [], 0
     while place < len(plain):
-        record, place = _plain(plain, place)
+        record, place = _plain(plain, place, ends)
         found.append(Record(at, end - at, record.headers, record.block))
     return found, end
 
@@ -186,15 +255,18 @@ def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
     """Records of one archive, and ``(offset, length, reason)`` for the bytes between them that are given up.
 
     After a failed check the search goes on behind its first byte, for the next
-    gzip member or version line at which a whole record passes every check.
+    gzip member or version line at which a whole record passes every check. A
+    start that fails is given up at its first bad line, and the ends of headers
+    are found in one pass, so broken starts cost no more than their bytes.
     """
     at, gap, reason = 0, None, ""
+    ends = _HeaderEnds(data)
     while at < len(data):
         try:
             if data.startswith(b"\x1f\x8b\x08", at):
                 found, end = _member(data, at)
             else:
-                record, end = _plain(data, at)
+                record, end = _plain(data, at, ends)
                 found = [record]
         except Damaged as why:
             if gap is None:

@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -497,6 +498,35 @@ def test_language_of_texts_without_letters(spark):
     assert got[3][0] == "en" and got[4][0] == "de"
 
 
+def test_archives_of_skewed_pages_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1 << 18)
+    rows = [(i, f"u{i}", f"small {i}") for i in range(990)] + [(1000 + i, None, f"{i}" + "y" * 100_000) for i in range(10)] + [(2000, "u", "z" * 600_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    got = warc.round_trip(pages, str(tmp_path / "w")).collect()
+    assert {r["page_id"]: r["payload_bytes"] for r in got} == {i: len(h) for i, _, h in rows} and len(got) == len(rows)
+    sizes = sorted(f.stat().st_size for f in (tmp_path / "w").glob("part-*"))
+    assert sizes[-1] < 602_000 and all(x <= 1 << 18 for x in sizes[:-1])
+
+
+def test_salvage_of_broken_starts_is_linear():
+    began = time.time()
+    for unit in (b"WARC/1.1\r\nx", b"WARC/1.1\r\na: b\r\n", b"\x1f\x8b\x08", b"WARC/1.1\r\n\r\n"):
+        data = unit * ((1 << 20) // len(unit))
+        gaps = list(warc.salvage(data))
+        assert [(g[0], g[1]) for g in gaps] == [(0, len(data))]
+    plain = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <a>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    member = gzip.compress(plain)
+    found = list(warc.salvage(member * 8000 + b"junk" + plain))
+    assert len(found) == 8002 and [x[:2] for x in found if isinstance(x, tuple)] == [(8000 * len(member), 4)]
+    assert all(x.block == b"hi" for x in found if not isinstance(x, tuple))
+    assert time.time() - began < 20
+
+
+def test_member_that_inflates_too_far_is_a_gap(monkeypatch):
+    monkeypatch.setattr(warc, "INFLATED_BYTES", 1 << 20)
+    assert [x[2] for x in warc.salvage(gzip.compress(b"0" * (1 << 22)))][:1] == ["gzip member too large"]
+
+
 # -------------------------------------------------------- 7: decontamination
 
 ITEM = "A train leaves Boston at 9:30 and travels 120 miles to Albany in 3 hours, so how fast does the train from Boston go per hour?"
@@ -713,3 +743,21 @@ def test_pipeline_stage_by_stage(spark, folder, tmp_path):
     assert all(0 < r["taken"] <= 2 * r["size"] for r in after)
     ran = P.run(spark, str(tmp_path)).collect()
     assert sorted(map(str, ran)) == sorted(map(str, after))
+
+
+def test_links_titles_and_anchors_of_pages():
+    text = "A paragraph that is long enough to be the article of this page, with some more words in it."
+    menu = "".join(f"<li><a href='/{x}'>{x}</a></li>" for x in ("One", "Two", "Three", "Four"))
+    page = f"<article><h1>Title</h1><p>{text}</p><ul>{menu}</ul><p>{text}</p><ul>{menu}</ul></article>"
+    assert htmltext.extract(page) == "\n".join(["Title", text, text])
+    assert htmltext.extract(f"<div class='post-header'><h1>Title</h1></div><p>{text}</p>") == f"Title\n{text}"
+    assert htmltext.extract(f"<div class='site-header'><h1>Site</h1></div><p>{text}</p>") == text
+    assert htmltext.extract(f"<a name=top><p>{text}</p><p><a href=x>link</a> and words</p>") == f"{text}\nlink and words"
+
+
+def test_unclosed_elements_cost_their_bytes():
+    began = time.time()
+    text = "words " * 30
+    assert htmltext.extract("<div></b>" * 50_000 + text) == text.strip()
+    assert htmltext.extract("<b>" * 50_000 + f"<p>{text}" * 100) == "\n".join([text.strip()] * 100)
+    assert time.time() - began < 10
