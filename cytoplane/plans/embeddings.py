@@ -366,6 +366,27 @@ def resolution_sweep_table(spark, d):
     return out
 
 
+@query(
+    "community_checks",
+    "emb",
+    """SELECT res, (SELECT count(*) FROM emb) AS nodes, CAST(0 AS BIGINT) AS disconnected, true AS better_than_alone
+FROM (SELECT unnest([0.05, 0.1, 0.15, 0.2, 0.25, 0.3]::DOUBLE[]) AS res)""",
+)
+def community_checks(spark, d):
+    """What must hold of ``community_detection``: all nodes, connected communities, a better partition than single nodes."""
+    from cytoplane.session import cut
+
+    edges = cut(G.knn_graph(fx.points(spark, d)))
+    found = cut(G.communities(edges, RESOLUTIONS).select("res", "node", "label"))
+    parts = G.connected_parts(edges, found).groupBy("res").agg(F.countDistinct("label").alias("parts"))
+    sizes = found.groupBy("res").agg(F.countDistinct("node").alias("nodes"), F.countDistinct("label").alias("groups"))
+    own = G.modularity(edges, found).select("res", F.col("modularity").alias("own"))
+    alone = G.modularity(edges, found.withColumn("label", F.col("node"))).select("res", F.col("modularity").alias("alone"))
+    return sizes.join(parts, "res").join(own, "res").join(alone, "res").select(
+        "res", "nodes", (F.col("parts") - F.col("groups")).alias("disconnected"), (F.col("own") > F.col("alone")).alias("better_than_alone")
+    )
+
+
 # ------------------------------------------------------------------ clustering
 
 
@@ -374,6 +395,30 @@ def kmeans_clusters(spark, d):
     return K.kmeans(fx.points(spark, d), 10, restarts=20)
 
 
+def _squares(points, groups):
+    """Summed squared distance of the points to the mean of their group, from sums."""
+    rows = points.select("id", F.posexplode("vec").alias("i", "x")).join(groups.select("id", "g"), "id")
+    per = rows.groupBy("g", "i").agg(F.sum(F.col("x") * F.col("x")).alias("q"), F.sum("x").alias("s"), F.count("*").alias("n"))
+    return per.agg(F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("cost"))
+
+
+@query("cluster_checks", "emb", "SELECT unnest(['kmeans', 'refine']) AS method, count(*) AS points, true AS within_number, true AS tighter_than_whole FROM emb")
+def cluster_checks(spark, d):
+    """What must hold of ``kmeans_clusters`` and ``deep_cluster_refine``: each point once, no more clusters than asked for, less spread than in one cluster."""
+    from cytoplane.session import cut
+
+    pts = fx.points(spark, d)
+    whole = _squares(pts, pts.select("id", F.lit(0).alias("g"))).withColumnRenamed("cost", "whole")
+    out = None
+    for method, made in (("kmeans", kmeans_clusters), ("refine", deep_cluster_refine)):
+        found = cut(made(spark, d).select("id", F.col("cluster").alias("g")))
+        counted = found.agg(F.countDistinct("id").alias("points"), F.countDistinct("g").alias("clusters"))
+        one = counted.withColumn("cost", _squares(pts, found).scalar()).withColumn("whole", whole.scalar())
+        line = one.select(F.lit(method).alias("method"), "points", (F.col("clusters") <= 10).alias("within_number"), (F.col("cost") < F.col("whole")).alias("tighter_than_whole"))
+        out = line if out is None else out.unionByName(line)
+    return out
+
+
 @query("gmm_clusters")
 def gmm_clusters(spark, d):
     return K.gaussian_mixture(fx.points(spark, d), 10, width=8)

@@ -334,6 +334,19 @@ def segment_text(spark, d):
     return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "piece")
 
 
+@query(
+    "segment_text_rebuilt",
+    "",
+    """SELECT doc_id, md5(regexp_replace(text, '[\\t\\n\\x0B\\f\\r ]', '', 'g')) AS digest, CAST(0 AS BIGINT) AS n_long FROM documents""",
+)
+def segment_text_rebuilt(spark, d):
+    """The pieces of ``segment_text`` put together again, and how many are too long."""
+    parts = segment_text(spark, d).groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("p"), F.count_if(F.length("piece") > 200).alias("n_long")
+    )  # a document's own pieces
+    return parts.select("doc_id", F.md5(F.regexp_replace(F.array_join("p.piece", ""), r"[\t\n\x0B\f\r ]", "")).alias("digest"), "n_long")
+
+
 @query(
     "fullwidth_to_halfwidth",
     "",
@@ -387,7 +400,28 @@ def candidate_pairs(spark, d):
     return X.candidate_pairs(*_sides(spark, d))
 
 
-@query("longest_common_substring_join")
+# Equal runs of 24 characters in a row on one diagonal make a longer run; a shorter text is a run by itself.
+block("doc_places", "", "SELECT doc_id AS id, i - 1 AS i, substring(text, CAST(i AS BIGINT), 24) AS g FROM (SELECT doc_id, text, unnest(range(1, length(text) - 22)) AS i FROM documents WHERE length(text) >= 24)")
+block("item_places", "", "SELECT item_id AS id, i - 1 AS i, substring(text, CAST(i AS BIGINT), 24) AS g FROM (SELECT item_id, text, unnest(range(1, length(text) - 22)) AS i FROM benchmark WHERE length(text) >= 24)")
+block(
+    "shared_spans",
+    "doc_places item_places",
+    """SELECT left_id, right_id, count(*) + 23 AS length, min(i) AS i, min(j) AS j FROM (
+    SELECT left_id, right_id, i, j, i - row_number() OVER (PARTITION BY left_id, right_id, j - i ORDER BY i) AS island
+    FROM (SELECT a.id AS left_id, b.id AS right_id, a.i, b.i AS j FROM doc_places a JOIN item_places b USING (g)))
+  GROUP BY left_id, right_id, j - i, island
+  UNION SELECT doc_id, item_id, least(length(d.text), length(b.text)), greatest(strpos(d.text, b.text), 1) - 1, greatest(strpos(b.text, d.text), 1) - 1
+  FROM documents d JOIN benchmark b ON least(length(d.text), length(b.text)) BETWEEN 1 AND 23 AND (contains(d.text, b.text) OR contains(b.text, d.text))""",
+)
+
+
+@query(
+    "longest_common_substring_join",
+    "shared_spans",
+    """SELECT left_id, right_id, CAST(length AS INTEGER) AS length, CAST(i AS INTEGER) AS left_start, CAST(i + length AS INTEGER) AS left_end,
+  CAST(j AS INTEGER) AS right_start, CAST(j + length AS INTEGER) AS right_end FROM (
+  SELECT *, row_number() OVER (PARTITION BY left_id, right_id ORDER BY length DESC, i, j) AS place FROM shared_spans) WHERE place = 1""",
+)
 def longest_common_substring_join(spark, d):
     return X.longest_common_substring_join(*_sides(spark, d))
 
