@@ -59,7 +59,7 @@ RULES = (
 )
 
 
-#: Stop words among all words. The SQL twin does not count them: its rule on distinct ones holds besides.
+#: Stop words among all words.
 STOP_RATIO = Rule("stop_ratio", "n_stop_words", "n_words", low=20)
 LISTED_RULES = frozenset(("stop_words", "stop_ratio"))
 #: Languages whose words STOP_WORDS lists; a text of one of these, or of none that is known.

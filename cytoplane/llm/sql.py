@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cytoplane.llm.quality import RULES, STOP_WORDS
+from cytoplane.llm.quality import LISTED, LISTED_RULES, NOT_KNOWN, RULES, STOP_RATIO, STOP_WORDS
 
 _STOPS = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
 
@@ -14,12 +14,17 @@ def _rule(r) -> str:
         tests.append(f"1000 * {r.numerator} >= {r.low} * {unit}")
     if r.high is not None:
         tests.append(f"1000 * {r.numerator} <= {r.high} * {unit}")
+    if r.name in LISTED_RULES:  # only of languages whose stop words are listed
+        return f"NOT listed OR ({' AND '.join(tests)})"
     return " AND ".join(tests)
 
 
+_LANGS = ", ".join(f"'{x}'" for x in (*LISTED, *NOT_KNOWN))
+
 QUALITY = rf"""
 WITH d AS (
-  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
+         coalesce(regexp_extract(lower(lang), '^[^-_]*') IN ({_LANGS}), true) AS has_list FROM documents
 ), s AS (
   SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
          list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
@@ -40,6 +45,8 @@ WITH d AS (
          len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
          coalesce(n_repeat_words, 0) AS n_repeat_words,
          len(list_distinct(list_filter(list_transform(ws, lambda x: lower(x)), lambda x: x IN ({_STOPS})))) AS n_stop,
+         len(list_filter(ws, lambda x: lower(x) IN ({_STOPS}))) AS n_stop_words,
+         has_list AND 2 * len(list_filter(ws, lambda x: regexp_matches(x, '^\P{{L}}*\p{{Latin}}'))) >= len(list_filter(ws, lambda x: regexp_matches(x, '\p{{L}}'))) AS listed,
          len(list_filter(ws, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_letter_words,
          len(list_filter(ws, lambda x: regexp_matches(x, '^\P{{L}}*\p{{Lu}}{{2}}') AND x = upper(x))) AS n_capital_words,
          len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS n_ellipsis_lines,
@@ -50,7 +57,7 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
        (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND {" AND ".join(f"({_rule(r)})" for r in RULES)} AS kept
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND {" AND ".join(f"({_rule(r)})" for r in (*RULES, STOP_RATIO))} AS kept
 FROM m
 """
 

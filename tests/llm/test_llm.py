@@ -612,7 +612,7 @@ def test_repeat_words_by_hand(spark):
     assert got[4]["n_dup_lines"] == 2
 
 
-def test_stop_words_count_only_where_listed(spark):
+def test_stop_words_count_only_where_listed(spark, tmp_path):
     rng = random.Random(9)
     russian = " ".join("".join(rng.choice("абвгдежзик") for _ in range(5)) for _ in range(60))
     latin = " ".join(words(rng, 60))
@@ -621,6 +621,10 @@ def test_stop_words_count_only_where_listed(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r["doc_id"]: r["kept"] for r in quality.assess(docs).collect()}
     assert got == {0: True, 1: True, 2: True, 3: False, 4: False, 5: True, 6: False}
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = oracle.duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert oracle.compare(spark, con, QUERIES["op8_quality"], ORACLES["op8_quality"], str(tmp_path)) is None
 
 
 def test_quality_plan_is_one_projection(spark, folder):
