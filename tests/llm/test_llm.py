@@ -8,6 +8,7 @@ import random
 import re
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import oracle
+from cytoplane import session
 from cytoplane.llm import bytework, decontam, htmltext, langid, lines, minhash, mixing, quality, secrets, toxicity, warc
 from cytoplane.llm.common import components
 from cytoplane.llm.queries import QUERIES
@@ -258,6 +260,27 @@ def test_runs_left_by_the_allowed_edits():
             assert set(key[row == 0]) & set(key[row == 1]), (n, len(own), edits)
 
 
+def test_line_dedup_leaves_one_table_and_no_shuffles(spark):
+    """What its steps pass on and shuffle is deleted once read: only the places to remove stay until the result is written."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    tables = Path(session._tables(spark).removeprefix("file:"))
+
+    def left():
+        shuffles = {f for top in manager.localDirs() for f in Path(top.getPath()).rglob("shuffle_*.data")}
+        return shuffles, set(tables.glob("*")) if tables.is_dir() else set()
+
+    rng = random.Random(6)
+    base = [words(rng, 12) for _ in range(30)]
+    texts = [" ".join(x) for x in base] + [" ".join([*x[:5], "changed", *x[6:]]) for x in base]
+    docs = docs_of(spark, texts)
+    before = left()
+    found = lines.dedup_lines(docs)
+    after = left()
+    assert len(after[1] - before[1]) == 1
+    assert sum(f.stat().st_size for f in after[0] - before[0] if f.exists()) < 2000  # of the sums that plan the steps
+    assert found.where("n_removed = 0").count() == 30
+
+
 def test_line_dedup_odd(spark):
     got = {r["doc_id"]: r for r in lines.dedup_lines(docs_of(spark, ODD)).collect()}
     assert got[0]["text"] is None and got[1]["text"] == "" and got[2]["text"] == " \n\t"
