@@ -61,6 +61,18 @@ def test_refine_settles_on_blobs(spark):
     assert labels.where((F.col("membership") <= 0) | (F.col("membership") > 1)).count() == 0
 
 
+def test_refine_keeps_overlapping_groups_apart(spark):
+    """Where groups overlap so that memberships are nearly even, centres must not fall into one place."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in 0.25 * np.eye(64)[i % 10] + rng.normal(0, 0.12, 64)], i % 10) for i in range(500)]
+    pts = spark.createDataFrame(rows, "id bigint, vec array<double>, label int")
+    labels, log = K.refine(pts, K.label_centres(pts))
+    sizes = [r["count"] for r in labels.groupBy("cluster").count().collect()]
+    assert len(sizes) == 10 and min(sizes) > 20
+    assert labels.join(pts, "id").where("cluster = label").count() > 300
+    assert log[-1]["change_rate"] < K.TOLERANCE
+
+
 def test_p_values_match_the_error_function(spark, folder):
     rows = Q["ranksum_p_values"](spark, folder).collect()
     assert rows
