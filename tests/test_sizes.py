@@ -351,3 +351,16 @@ def test_places_are_found_in_bounded_slices(monkeypatch):
     got = X._by_slices(tokens, work, pa.list_(X._SPAN), texts).to_pylist()
     assert [[s and (s["start"], s["end"]) for s in row] for row in got] == [[None, (0, 2), (3, 7), (8, 10)], [], [], [(1, 2)], [(0, 1)]]
     assert sizes == [4, 2]
+
+
+@pytest.mark.parametrize("name", ["wordpiece_tokenize", "wordpiece_tokenize_by_join", "encode_text", "decode_ids", "token_offsets"])
+def test_words_of_documents_are_not_written(spark, tmp_path, monkeypatch, name):
+    from cytoplane.plans import QUERIES
+    from cytoplane.plans import text as plan
+
+    spark.createDataFrame([(1, "an able man"), (2, None), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    written = []
+    plain = plan.cut
+    monkeypatch.setattr(plan, "cut", lambda df: written.append(df.schema) or plain(df))
+    assert QUERIES[name](spark, str(tmp_path)).count() == 3
+    assert written and not any(f.dataType.typeName() == "array" for s in written for f in s)
