@@ -309,13 +309,8 @@ def token_offsets(spark, d):
     """Places of all word pieces in the original text, with the text found there."""
     docs = _docs(spark, d).select("doc_id", "text", X.basic_words(F.col("text")).alias("words"))
     vocab = _piece_vocab(spark, docs)
-    spans = X.wordpiece(docs, vocab).withColumn("spans", X.token_offsets(F.col("text"), F.col("pieces")))
-    good = F.zip_with(
-        "pieces",
-        "spans",
-        lambda p, s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])
-        == F.regexp_replace(p, "^##", ""),
-    )
+    spans = X.wordpiece(docs, vocab).withColumn("spans", X.token_offsets(F.col("text"), F.col("pieces"), with_text=True))
+    good = F.zip_with("pieces", "spans", lambda p, s: s["text"] == F.regexp_replace(p, "^##", ""))
     return spans.select(
         "doc_id",
         F.size("spans").cast("bigint").alias("n_tokens"),

@@ -351,6 +351,8 @@ def test_places_are_found_in_bounded_slices(monkeypatch):
     got = X._by_slices(tokens, work, pa.list_(X._SPAN), texts).to_pylist()
     assert [[s and (s["start"], s["end"]) for s in row] for row in got] == [[None, (0, 2), (3, 7), (8, 10)], [], [], [(1, 2)], [(0, 1)]]
     assert sizes == [4, 2]
+    found = X._located(tokens[:1], texts[:1], False, with_text=True).to_pylist()[0]
+    assert [s and s["text"] for s in found] == [None, "un", "able", "ok"]
 
 
 @pytest.mark.parametrize("name", ["wordpiece_tokenize", "wordpiece_tokenize_by_join", "encode_text", "decode_ids", "token_offsets"])
